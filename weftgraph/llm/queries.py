@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import exact_dedup
+from weftgraph.llm import chat, exact_dedup, packing, piece_codec, sharding, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,69 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.assign(table(spark, sf_dir, "documents"))
+    return shards.select(F.col("id").alias("doc_id"), "shard", "depth", "shard_bytes", "shard_rows")
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql(
+        """SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
+           FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"""
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    formatted = chat.format_records(chat.records_of_turns(turns), id_col="id", record_col="record")
+    return formatted.select(
+        F.col("id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
+def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_codec.encode(table(spark, sf_dir, "documents"), model, with_ids=False)
+    return encoded.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
+
+
+def url_log(pages: DataFrame) -> DataFrame:
+    """A dated list made from the hosts of a table of pages by a rule on their MD5."""
+    hosts = pages.select(url_lists.host(F.col("url")).alias("h")).where("h <> ''").distinct()
+    hosts = hosts.withColumn("n", F.conv(F.substring(F.md5("h"), 1, 4), 16, 10).cast("int"))
+    n = F.col("n")
+
+    def entry(pattern, action, after, used):
+        day = F.date_add(F.lit("2023-01-01").cast("date"), after.cast("int"))
+        return F.struct(pattern.alias("pattern"), F.lit(action).alias("action"), day.alias("day"), used.alias("used"))
+
+    entries = F.array(
+        entry(F.col("h"), "block", n % 600, n % 3 == 0),
+        entry(F.col("h"), "remove", n % 600 + 30 + n % 200, n % 3 == 0),
+        entry(F.regexp_replace("h", r"^[^.]*\.", ""), "block", n % 900, n % 5 == 1),
+        entry(F.concat("h", F.lit("/en/")), "allow", n % 400, n % 2 == 0),
+    )
+    return hosts.select(F.inline(F.filter(entries, lambda e: e["used"]))).drop("used")
+
+
+def op8_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.expr("date_add(date'2023-01-01', cast(page_id * 7919 % 1000 as int))"))
+    judged = url_lists.judge(captures, url_log(pages))
+    return judged.select("page_id", F.col("day").cast("string"), "verdict", "rule", F.col("since").cast("string"), "n_active")
+
+
+def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_extendible_sharding": op3_extendible_sharding,
+    "op5_chat_format": op5_chat_format,
+    "op6_piece_codec": op6_piece_codec,
+    "op8_url_list_asof": op8_url_list_asof,
+    "op10_best_two_fit": op10_best_two_fit,
 }
 
 ORACLES = {
@@ -31,4 +93,69 @@ ORACLES = {
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)
     """,
+    "op3_extendible_sharding": """
+        WITH r AS (
+            SELECT doc_id, strlen(coalesce(text, '')) AS size,
+                   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS bits
+            FROM documents),
+        b AS (
+            SELECT d.depth, r.bits >> (60 - d.depth) AS prefix, sum(size) AS size, count(*) AS n
+            FROM r, range(0, 25) d(depth) GROUP BY ALL),
+        leaves AS (
+            SELECT r.doc_id, r.bits, min(b.depth) AS depth
+            FROM r JOIN b ON r.bits >> (60 - b.depth) = b.prefix
+            WHERE b.size <= 67108864 OR b.n = 1 GROUP BY ALL)
+        SELECT l.doc_id, l.depth::INT AS depth, b.size::BIGINT AS shard_bytes, b.n AS shard_rows,
+               CASE WHEN l.depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(b.prefix), l.depth::INT) END AS shard
+        FROM leaves l JOIN b ON b.depth = l.depth AND b.prefix = l.bits >> (60 - l.depth)
+    """,
+    "op5_chat_format": """
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        e AS (
+            SELECT *, length(regexp_replace(replace(role || chr(1) || text, '\\', '\\\\'),
+                   '([<\\[])(/?s>|/?INST\\]|</?SYS>>)', '\\1#\\2', 'g')) - 1 AS chars
+            FROM c),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns, sum(chars + 9)::BIGINT AS formatted_chars,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                            FILTER (role = 'assistant'), '') AS loss
+            FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+               sha256(loss) AS loss_sha256, formatted_chars
+        FROM g
+    """,
+    "op8_url_list_asof": """
+        WITH p AS (
+            SELECT page_id, url, DATE '2023-01-01' + (page_id * 7919 % 1000)::INT AS day,
+                   regexp_replace(lower(regexp_extract(coalesce(url, ''),
+                       '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 1)), '\\.$', '') AS h,
+                   string_split(regexp_extract(coalesce(url, ''),
+                       '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 2), '/') AS parts
+            FROM pages),
+        hosts AS (SELECT DISTINCT h, ('0x' || substr(md5(h), 1, 4))::INT AS n FROM p WHERE h <> ''),
+        log AS (
+            SELECT h AS pattern, 'block' AS action, DATE '2023-01-01' + n % 600 AS day FROM hosts WHERE n % 3 = 0
+            UNION ALL SELECT h, 'remove', DATE '2023-01-01' + (n % 600 + 30 + n % 200) FROM hosts WHERE n % 3 = 0
+            UNION ALL SELECT regexp_replace(h, '^[^.]*\\.', ''), 'block', DATE '2023-01-01' + n % 900 FROM hosts WHERE n % 5 = 1
+            UNION ALL SELECT h || '/en/', 'allow', DATE '2023-01-01' + n % 400 FROM hosts WHERE n % 2 = 0),
+        spans AS (
+            SELECT pattern, action, day AS since, lead(day) OVER (PARTITION BY pattern ORDER BY day, action) AS until FROM log),
+        live AS (SELECT * FROM spans WHERE action <> 'remove' AND (until IS NULL OR since < until)),
+        k AS (
+            SELECT p.page_id, p.url, p.day, unnest(list_distinct(list_concat(
+                list_transform(range(1, len(string_split(h, '.')) + 1), lambda i: array_to_string(string_split(h, '.')[i:], '.')),
+                list_transform(range(2, len(parts)), lambda i: h || array_to_string(parts[1:i], '/') || '/')))) AS pattern
+            FROM p WHERE h <> ''),
+        m AS (
+            SELECT k.page_id, k.url, k.day, l.*, count(*) OVER w AS n_active,
+                   row_number() OVER (w ORDER BY length(l.pattern) DESC, l.pattern DESC) AS place
+            FROM k JOIN live l ON l.pattern = k.pattern AND l.since <= k.day AND (l.until IS NULL OR k.day < l.until)
+            WINDOW w AS (PARTITION BY k.page_id))
+        SELECT p.page_id, p.day::VARCHAR AS day, coalesce(m.action, 'none') AS verdict, m.pattern AS rule,
+               m.since::VARCHAR AS since, coalesce(m.n_active, 0) AS n_active
+        FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.place = 1
+    """,
 }
