@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, exact_dedup, packing, piece_codec, sharding, url_lists
+from weftgraph.llm import chat, embedding_join, exact_dedup, ngram_join, packing, piece_codec, sharding, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = embedding_join.link(table(spark, sf_dir, "embeddings"))
+    return linked.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.assign(table(spark, sf_dir, "documents"))
     return shards.select(F.col("id").alias("doc_id"), "shard", "depth", "shard_bytes", "shard_rows")
@@ -68,6 +75,11 @@ def op8_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", F.col("day").cast("string"), "verdict", "rule", F.col("since").cast("string"), "n_active")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link(table(spark, sf_dir, "documents"))
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select(
@@ -77,10 +89,12 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_subspace_pigeonhole": op2_subspace_pigeonhole,
     "op3_extendible_sharding": op3_extendible_sharding,
     "op5_chat_format": op5_chat_format,
     "op6_piece_codec": op6_piece_codec,
     "op8_url_list_asof": op8_url_list_asof,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
@@ -158,4 +172,45 @@ ORACLES = {
                m.since::VARCHAR AS since, coalesce(m.n_active, 0) AS n_active
         FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.place = 1
     """,
+    "op2_subspace_pigeonhole": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) >= 0.9 * a.norm * b.norm),
+        reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links,
+               (SELECT min(r.b) FROM reach r WHERE r.a = e.vec_id) AS component_id,
+               (SELECT min(r.b) FROM reach r WHERE r.a = e.vec_id) = e.vec_id AS kept
+        FROM embeddings e
+    """,
+    "op9_ngram_jaccard": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle
+            FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * both >= 80 * (x.n + y.n - both)),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN n USING (doc_id)
+    """,
 }
