@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, embedding_join, exact_dedup, ngram_join, packing, piece_codec, sharding, url_lists
+from weftgraph.llm import chat, embedding_join, exact_dedup, ngram_join, packing, pii, piece_codec, quality, sharding, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,17 @@ def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select(F.col("id").alias("doc_id"), "shard", "depth", "shard_bytes", "shard_rows")
 
 
+def op4_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        quality.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql(
         """SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text
@@ -68,6 +79,21 @@ def url_log(pages: DataFrame) -> DataFrame:
     return hosts.select(F.inline(F.filter(entries, lambda e: e["used"]))).drop("used")
 
 
+def op7_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["source"] == "base")
+    counts = [
+        F.expr(f"cast(size(filter(spans, s -> s.source = 'base' AND s.kind = '{k}')) AS long)").alias(f"n_{k}")
+        for k in pii.KINDS
+    ]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(pii.digest(base).cast("binary"), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_url_list_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     captures = pages.withColumn("day", F.expr("date_add(date'2023-01-01', cast(page_id * 7919 % 1000 as int))"))
@@ -91,8 +117,10 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_subspace_pigeonhole": op2_subspace_pigeonhole,
     "op3_extendible_sharding": op3_extendible_sharding,
+    "op4_additive_quality": op4_additive_quality,
     "op5_chat_format": op5_chat_format,
     "op6_piece_codec": op6_piece_codec,
+    "op7_contextual_pii": op7_contextual_pii,
     "op8_url_list_asof": op8_url_list_asof,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_best_two_fit": op10_best_two_fit,
@@ -202,11 +230,11 @@ ORACLES = {
             FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         pairs AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
             FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
         links AS (
             SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-            WHERE 100 * both >= 80 * (x.n + y.n - both)),
+            WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
         reach AS (
             SELECT doc_id AS a, doc_id AS b FROM documents
             UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
