@@ -354,7 +354,8 @@ def mask(text: str, spans: list[dict]) -> str:
 def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars", support: int = SUPPORT) -> DataFrame:
     """The documents with personal data replaced, null texts as they are; ``chars_col``, if there, is counted anew."""
     (name,) = fresh(docs, "spans")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -364,7 +365,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars
             ]
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     out = annotate(docs, text_col=text_col, name=name, support=support).mapInArrow(run, docs.schema)
     if chars_col in docs.columns:
