@@ -14,10 +14,11 @@ identifiers are packed like any others; an empty table gives no pieces; extra co
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,23 @@ from weftgraph.llm.common import Scratch
 
 END = 2
 CAPACITY = 1024
-#: A worker keeps the ids of so many words.
-CACHED_WORDS = 400_000
-#: Words are split by the tokenizer's own rules; this pattern splits texts of these characters in the same way.
-PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ]")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Fixed value: how byte-level vocabularies of this kind split texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 class ByteBpe:
-    """Ids of a tokenizers file as little-endian unsigned 32-bit integers; special tokens in a text are ordinary text."""
+    """Ids of a tokenizers file as little-endian unsigned 32-bit integers; special tokens in a text are ordinary text.
+
+    Where the file's merges are in the order of their ids, and it splits as usual, merging by rank gives the same ids: its
+    vocabulary is then run by tiktoken, which takes a quarter of the time. Any other file is run by tokenizers.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,24 +53,36 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
+        self.ranked = self._ranked(json.loads(Path(path).read_text()))
+
+    @staticmethod
+    def _ranked(file: dict):
+        split, bpe = file.get("pre_tokenizer") or {}, file["model"]
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        merges = [m if isinstance(m, str) else " ".join(m) for m in bpe.get("merges", [])]
+        ids = [bpe["vocab"].get(m.replace(" ", "")) for m in merges]
+        odd = (bpe.get("dropout"), bpe.get("unk_token"), bpe.get("continuing_subword_prefix"), bpe.get("end_of_word_suffix"))
+        if (
+            bpe["type"] != "BPE" or file.get("normalizer") or any(odd) or bpe.get("ignore_merges")
+            or any(split.get(k) != v for k, v in usual.items()) or None in ids or ids != sorted(set(ids))
+        ):
+            return None
+        import tiktoken
+
+        special = {t["content"] for t in file.get("added_tokens", [])}
+        byte = _byte_of()
+        ranks = {bytes(byte[c] for c in k): i for k, i in bpe["vocab"].items() if k not in special}
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        split = [None if PLAIN.search(t) else WORDS.findall(t) for t in texts]
-        known = self.words
-        new = list({w for words in split if words for w in words if w not in known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self._direct(part), strict=True))
-        get = known.__getitem__
-        whole = iter(self._direct([t for t, words in zip(texts, split, strict=True) if words is None]))
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in split]
+        if self.ranked is None:
+            return self.direct(texts)
+        ids = self.ranked.encode_ordinary
+        return [np.array(ids(t), "<u4").tobytes() for t in texts]
 
 
 _TOKENIZERS: dict[str, ByteBpe] = {}
