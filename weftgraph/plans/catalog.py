@@ -537,16 +537,16 @@ def _groups(spark, sf_dir):
         F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")).alias("description"),
         F.when(F.col("l_linenumber") % 2 == 0, F.array("l_linestatus")).alias("labels"),
         F.lit(None).cast("string").alias("name"), F.col("l_quantity").cast("double").alias("score"),
-        F.col("l_linenumber").alias("grp"), F.col("l_orderkey").alias("pos"),
+        F.col("l_linenumber").alias("grp"), (F.col("l_orderkey") * 100 + F.col("l_quantity").cast("long")).alias("pos"),
     )
 
 
 @query("""WITH g AS (SELECT 'P' || l_partkey AS id, CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag END AS description,
-             CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS labels, l_quantity AS score, l_linenumber AS grp, l_orderkey AS pos FROM lineitem),
+             CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus END AS labels, l_quantity AS score, l_linenumber AS grp, l_orderkey * 100 + l_quantity::BIGINT AS pos FROM lineitem),
     w AS (SELECT *, first_value(grp) OVER o AS bg, first_value(pos) OVER o AS bp FROM g WINDOW o AS (PARTITION BY id ORDER BY score DESC, grp, pos)),
     l AS (SELECT * FROM w WHERE (grp, pos) >= (bg, bp))
-    SELECT id, max(score) FILTER (grp = bg AND pos = bp) AS score, arg_min(description, grp::BIGINT * 1000000000 + pos) FILTER (description IS NOT NULL) AS description,
-           arg_min(labels, grp::BIGINT * 1000000000 + pos) FILTER (labels IS NOT NULL) AS labels FROM l GROUP BY id""")
+    SELECT id, max(score) FILTER (grp = bg AND pos = bp) AS score, arg_min(description, grp::BIGINT * 100000000000 + pos) FILTER (description IS NOT NULL) AS description,
+           arg_min(labels, grp::BIGINT * 100000000000 + pos) FILTER (labels IS NOT NULL) AS labels FROM l GROUP BY id""")
 def merge_entities(spark, sf_dir):
     out = rank.merge_entities(_groups(spark, sf_dir))
     return out.select("id", "score", "description", F.array_join("labels", ",").alias("labels"))
