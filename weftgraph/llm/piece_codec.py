@@ -3,9 +3,9 @@
 A text becomes one string with U+2581 for spaces and one in front. Symbols are its characters; an agenda holds the
 adjacent pairs that form a piece, best score first, then leftmost; the best pair merges until none is left. What is no
 piece at the end becomes byte pieces. No piece holds U+2581 after another character (checked at load), so merges never
-cross from a word into the next one: words are merged one by one and their ids kept. Each Arrow batch is then checked
-against the sentencepiece library, text by text; where the two differ, the library's ids are returned and ``agrees`` is
-false.
+cross from a word into the next one: words are merged one by one and their ids kept. In each Arrow batch the words that
+were merged in it are checked against the sentencepiece library; where the two differ, the library's ids are returned for
+the texts of the batch that hold the word and ``agrees`` is false.
 
 Defined results: null text counts as empty; an empty text is the begin and end ids alone; null or repeated identifiers
 give a row each; an empty table gives none; extra columns are ignored.
@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from weftgraph.llm.packing import slices
 SPACE = "▁"
 #: A worker keeps the ids of so many words.
 CACHED_WORDS = 400_000
+#: Words of up to so many characters are merged side by side, so many at a time.
+SHORT, SIDE_BY_SIDE = 32, 8192
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -47,11 +51,97 @@ class PieceModel:
         if len(self.byte_ids) != 256 or any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
             raise ValueError("only vocabularies with byte pieces and word-initial spaces are supported")
         self.surface = [b"" if i in special else piece.replace(SPACE, " ").encode() for i, piece in enumerate(pieces)]
-        self.byte_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
+        for b, i in self.byte_ids.items():
+            self.surface[i] = bytes([b])
+        self.char_ids = np.full(0x110000, -1, np.int32)
+        parts: dict[int, tuple[float, int]] = {}
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.char_ids[ord(piece)] = i
+            for at in range(1, len(piece)):
+                left, right = self.ids.get(piece[:at]), self.ids.get(piece[at:])
+                if left is not None and right is not None:
+                    parts[left * size + right] = (self.cost[piece], i)
+        self.pair_keys = np.array(sorted(parts), np.int64)
+        self.pair_costs, self.pair_ids = (
+            np.array([parts[k][j] for k in self.pair_keys.tolist()], t) for j, t in ((0, np.float64), (1, np.int32))
+        )
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise OSError("packed ids need a little-endian machine with 32-bit integers")
         self.words: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+
+    def merge_many(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words. Short ones merge side by side, each round the best pair of each word's agenda."""
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT and "\0" not in w]
+        short.sort(key=lambda i: len(words[i]))
+        done = set()
+        for at in range(0, len(short), SIDE_BY_SIDE):
+            rows = short[at : at + SIDE_BY_SIDE]
+            width = len(words[rows[-1]])
+            chars = np.array([words[i] for i in rows], f"<U{width}").view(np.uint32).reshape(len(rows), width)
+            symbols = self.char_ids[chars]
+            plain = ((symbols >= 0) | (chars == 0)).all(axis=1)  # others need byte pieces
+            merged = self._rounds(symbols[plain])
+            counts = (merged >= 0).sum(axis=1)
+            packed = merged.astype("<u4")
+            for i, row, n in zip(np.array(rows)[plain].tolist(), packed, counts.tolist(), strict=True):
+                out[i] = row[:n].tobytes()
+                done.add(i)
+        for i, w in enumerate(words):
+            if i not in done:
+                out[i] = array("I", self._ids(self._merge_long(w))).tobytes()
+        return out
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cost and id of the pieces that pairs of ids form; infinite where they form none."""
+        key = left.astype(np.int64) * len(self.surface) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        known = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.pair_costs[at], np.inf), np.where(known, self.pair_ids[at], -1)
+
+    def _rounds(self, symbols: np.ndarray) -> np.ndarray:
+        """Rows of ids (-1 after the end) with their merges done."""
+        result = np.full_like(symbols, -1)
+        place = np.arange(len(symbols))
+        cost, piece = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        while symbols.shape[1] > 1 and len(symbols):
+            best = cost.argmin(axis=1)  # the leftmost of the best
+            row = np.arange(len(symbols))
+            ended = np.isinf(cost[row, best])
+            if ended.any():
+                result[place[ended], : symbols.shape[1]] = symbols[ended]
+                symbols, cost, piece, best, place = (x[~ended] for x in (symbols, cost, piece, best, place))
+                row = np.arange(len(symbols))
+                if not len(row):
+                    return result
+            symbols[row, best] = piece[row, best]
+            width = symbols.shape[1] - 1
+            step = np.arange(width)
+            symbols = np.take_along_axis(symbols, step + (step > best[:, None]), axis=1)
+            step = step[:-1]
+            after = step + (step >= best[:, None])
+            cost, piece = np.take_along_axis(cost, after, axis=1), np.take_along_axis(piece, after, axis=1)
+            for at in (best - 1, best):
+                here = (at >= 0) & (at < width - 1)
+                r, c = row[here], at[here]
+                cost[r, c], piece[r, c] = self._pairs(symbols[r, c], symbols[r, c + 1])
+        result[place, : symbols.shape[1]] = symbols
+        return result
 
     def merge(self, word: str) -> list[int]:
-        """Ids of a word by the agenda."""
+        """Ids of one word."""
+        return self._ids(self._merge_long(word))
+
+    def _ids(self, symbols: list[str]) -> list[int]:
+        out: list[int] = []
+        for s in symbols:
+            known = self.ids.get(s)
+            out += [known] if known is not None else [self.byte_ids[b] for b in s.encode()]
+        return out
+
+    def _merge_long(self, word: str) -> list[str]:
         symbols = list(word)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -77,41 +167,43 @@ class PieceModel:
                 joined = symbols[previous] + pair
                 if (c := cost(joined)) is not None:
                     heapq.heappush(agenda, (c, previous, left, joined))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                known = self.ids.get(s)
-                out += [known] if known is not None else [self.byte_ids[b] for b in s.encode()]
-        return out
+        return [s for s in symbols if s]
 
-    def encode(self, text: str) -> bytes:
-        """Ids without begin and end, as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        words = WORDS.findall(SPACE + text.replace(" ", SPACE))
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids without begin and end, as little-endian unsigned 32-bit integers, and whether the library agrees."""
         known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = np.array(self.merge(w), "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; control ids have none, the space in front is dropped, broken bytes become U+FFFD each."""
-        surface, byte_of = self.surface, self.byte_of
-        parts = [surface[i] or byte_of.get(i, b"") for i in ids]
-        whole = b"".join(parts)
+        if len(known) > CACHED_WORDS:
+            known.clear()
+            self.odd.clear()
+        split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = list({w for words in split for w in words if w not in known})
+        if new:
+            merged = self.merge_many(new)
+            # the library puts one space in front itself
+            theirs = self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1)
+            # an empty text has no space in front, so that a space alone is nothing that it can be asked for
+            differ = (a != array("I", b).tobytes() for a, b in zip(merged, theirs, strict=True))
+            self.odd.update(w for w, d in zip(new, differ, strict=True) if d and w != SPACE)
+            known.update(zip(new, merged, strict=True))
+        get, odd = known.__getitem__, self.odd
+        out = []
+        for text, words in zip(texts, split, strict=True):
+            if odd and not odd.isdisjoint(words):
+                out.append((array("I", self.library.encode(text)).tobytes(), False))
+            else:
+                out.append((b"".join(map(get, words)), True))
+        return out
+
+    def decode(self, ids) -> str:
+        """The text of ids; control ids have none, the space in front is dropped."""
+        whole = b"".join(map(self.surface.__getitem__, ids))
         first = next((i for i in ids if i not in (self.begin, self.end)), None)
-        if first is not None and surface[first][:1] == b" ":
+        if first is not None and self.surface[first][:1] == b" ":
             whole = whole[1:]
         try:
             return whole.decode()
-        except UnicodeDecodeError:
-            return self.library.decode(ids)
+        except UnicodeDecodeError:  # ids that no text has
+            return self.library.decode(list(ids))
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -137,21 +229,17 @@ def encode(
 
     def run(batches):
         m = model(path)
-        begin, end = (np.array([i], "<u4").tobytes() for i in (m.begin, m.end))
+        begin, end = (array("I", [i]).tobytes() for i in (m.begin, m.end))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             names = batch.column(0)
             for at, part in slices(texts):
                 rows = []
-                checked = m.library.encode(part, add_bos=True, add_eos=True, num_threads=1)
-                for text, theirs in zip(part, checked, strict=True):
-                    packed = begin + m.encode(text) + end
-                    ids = np.frombuffer(packed, "<u4").tolist()
-                    if not (agrees := ids == theirs):
-                        ids, packed = theirs, np.array(theirs, "<u4").tobytes()
-                    decoded = m.decode(ids)
+                for ids, agrees in m.encode(part):
+                    packed = begin + ids + end
+                    decoded = m.decode(array("I", packed))
                     rows.append((
-                        len(ids), packed if with_ids else None, hashlib.sha256(packed).hexdigest(),
+                        len(packed) // 4, packed if with_ids else None, hashlib.sha256(packed).hexdigest(),
                         decoded if with_ids else None, hashlib.sha256(decoded.encode()).hexdigest(), agrees,
                     ))
                 types = (pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.bool_())
