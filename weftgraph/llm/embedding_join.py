@@ -198,15 +198,16 @@ def _connect(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _join(plan: Plan, cosine: float):
     def run(table: pa.Table) -> pa.Table:
-        block = int(table.column("tile")[0].as_py().split(":")[0])
+        number, *ends = map(int, table.column("tile")[0].as_py().split(":"))
+        block, across = number, ends[:2] != ends[2:]
         keys = table.column("key").to_pylist()
         x = _matrix(table.column("vector"))
         weight = table.column("weight").to_numpy()
-        part = np.unique(np.array(table.column("part").to_pylist()), return_inverse=True)[1]
+        # a tile of two parts compares one with the other, even if only one of them has rows here
+        part = np.array([across and p != f"{ends[0]}:{ends[1]}" for p in table.column("part").to_pylist()])
         order = np.argsort(part, kind="stable")
         x, weight, part, keys = x[order], weight[order], part[order], [keys[i] for i in order]
-        m, split = len(x), int((part == 0).sum())
-        across = split < m
+        m, split = len(x), int((~part).sum())
         norm = np.sqrt((x * x).sum(axis=1))
         rotated = _rotate(_unit(x), plan.axes)
         b, budget = plan.blocks[block], plan.budgets[block]
