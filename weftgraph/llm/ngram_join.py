@@ -106,22 +106,50 @@ def members(docs: DataFrame, *, id_col: str, text_col: str, width: int = WIDTH)
     return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, print long, key binary, n long")
 
 
+def _pack(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> bytes:
+    """Classes with their sizes and numbers of values, and the values, class by class, as one payload."""
+    parts = (np.array([len(keys)], "<u4"), keys, sizes.astype("<u4"), counts.astype("<u4"), *values)
+    return b"".join(p.tobytes() for p in parts)
+
+
+def _unpack(payloads: pa.ChunkedArray, *kinds: str):
+    """The classes of many payloads: distinct keys, their sizes, and for each value its class, then the values."""
+    keys, sizes, counts, values = [], [], [], [[] for _ in kinds]
+    for payload in payloads:
+        raw = payload.as_buffer()
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        keys.append(np.frombuffer(raw, "V16", n, 4))
+        sizes.append(np.frombuffer(raw, "<u4", n, 4 + 16 * n))
+        counts.append(np.frombuffer(raw, "<u4", n, 4 + 20 * n))
+        at, total = 4 + 24 * n, int(counts[-1].sum())
+        for kind, found in zip(kinds, values, strict=True):
+            found.append(np.frombuffer(raw, kind, total, at))
+            at += found[-1].nbytes
+    names, first, own = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    of = np.repeat(own, np.concatenate(counts))
+    return names, np.concatenate(sizes)[first], of, *map(np.concatenate, values)
+
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(sorted_values, prepend=-1, append=-1)).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True)) if len(sorted_values) else []
+
+
 def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets: int) -> DataFrame:
-    """Hashes of each class dealt to buckets: (bucket, payload); a payload lists keys, counts and 32-bit hashes."""
+    """Hashes of each class dealt to buckets: (bucket, payload); payloads hold the lower 32 bits."""
 
     def flush(keys: list[bytes], sets: list[np.ndarray]):
-        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        sizes = np.array([len(s) for s in sets])
+        of = np.repeat(np.arange(len(sets)), sizes)
         every = np.concatenate(sets)
         high = ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((of, high))
-        high, of, low = high[order], of[order], every[order].astype(np.uint32)
+        high, of, low = high[order], of[order], every[order].astype("<u4")
         names = np.frombuffer(b"".join(keys), "V16")
-        edges = np.flatnonzero(np.diff(high, prepend=-1, append=-1))
         rows, payloads = [], []
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for a, b in _runs(high):
             own, counts = np.unique(of[a:b], return_counts=True)
-            head = np.array([len(own)], "<u4").tobytes()
-            payloads.append(head + names[own].tobytes() + counts.astype("<u4").tobytes() + low[a:b].tobytes())
+            payloads.append(_pack(names[own], sizes[own], counts, low[a:b]))
             rows.append(high[a])
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
@@ -145,42 +173,41 @@ def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets:
     return _texts(docs, id_col, text_col).mapInArrow(run, "bucket int, payload binary")
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of a bucket: per class the hashes that other classes have too, each with its count above it (count << 32 | hash)."""
-    keys, counts, hashes = [], [], []
-    for payload in table.column("payload"):
-        raw = payload.as_buffer()
-        n = int(np.frombuffer(raw, "<u4", 1)[0])
-        keys.append(np.frombuffer(raw, "V16", n, 4))
-        counts.append(np.frombuffer(raw, "<u4", n, 4 + 16 * n))
-        hashes.append(np.frombuffer(raw, "<u4", -1, 4 + 20 * n))
-    names, own = np.unique(np.concatenate(keys), return_inverse=True)
-    of = np.repeat(own, np.concatenate(counts)).astype(np.uint64)
-    low = np.concatenate(hashes)
-    parts = max(1, len(low) // GATHERED + 1)
-    classes, packed = [], []
-    for part in range(parts):  # a range of hashes at a time
-        chosen = (low.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)) == part if parts > 1 else slice(None)
-        pairs = np.unique(low[chosen].astype(np.uint64) << np.uint64(32) | of[chosen])
-        value = pairs >> np.uint64(32)
-        starts = np.flatnonzero(np.diff(value, prepend=np.uint64(1 << 40)))
-        runs = np.diff(starts, append=len(value))
-        times = np.repeat(runs, runs).astype(np.uint64)
-        many = times > 1
-        classes.append((pairs[many] & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        packed.append(times[many] << np.uint64(32) | value[many])
-    cls, val = np.concatenate(classes), np.concatenate(packed)
-    order = np.argsort(cls, kind="stable")
-    cls, val = cls[order], val[order]
-    edges = np.flatnonzero(np.diff(cls, prepend=-1, append=-1))
-    found = [(names[cls[a]].tobytes(), val[a:b].tobytes(), b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({
-        "key": pa.array([k for k, _, _ in found], pa.binary()),
-        "bucket": pa.array([bucket] * len(found), pa.int32()),
-        "shared": pa.array([s for _, s, _ in found], pa.binary()),
-        "n_shared": pa.array([int(n) for _, _, n in found], pa.int64()),
-    })
+def _shared(buckets: int):
+    """Of a bucket: the hashes that several classes have, with the number of classes, dealt to parts by class."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, sizes, of, low = _unpack(table.column("payload"), "<u4")
+        ranges = max(1, len(low) // GATHERED + 1)
+        classes, hashes, times = [], [], []
+        for part in range(ranges):  # a range of hashes at a time
+            chosen = (low.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)) == part if ranges > 1 else slice(None)
+            pairs = np.unique(low[chosen].astype(np.uint64) << np.uint64(32) | of[chosen].astype(np.uint64))
+            value = pairs >> np.uint64(32)
+            starts = np.flatnonzero(np.diff(value, prepend=np.uint64(1 << 40)))
+            runs = np.diff(starts, append=len(value))
+            count = np.repeat(runs, runs)
+            many = count > 1
+            classes.append((pairs[many] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            hashes.append(value[many].astype("<u4"))
+            times.append(np.minimum(count[many], 0xFFFF).astype("<u2"))
+        cls, value, count = map(np.concatenate, (classes, hashes, times))
+        part = (np.frombuffer(names.tobytes(), "<u8")[::2] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((cls, part[cls]))
+        cls, value, count = cls[order], value[order], count[order]
+        rows, payloads = [], []
+        for a, b in _runs(part[cls]):
+            own, n = np.unique(cls[a:b], return_counts=True)
+            payloads.append(_pack(names[own], sizes[own], n, value[a:b], count[a:b]))
+            rows.append(part[cls[a]])
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({
+            "part": pa.array(rows, pa.int32()),
+            "bucket": pa.array([bucket] * len(rows), pa.int32()),
+            "payload": pa.array(payloads, pa.binary()),
+        })
+
+    return run
 
 
 def _least(n, percent: int):
@@ -188,28 +215,31 @@ def _least(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _lookups(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(token, key): the shared shingles within each class's prefix."""
-    lists = shared.groupBy("key").agg(
-        F.collect_list(F.struct("bucket", "shared")).alias("lists"), F.sum("n_shared").alias("n_shared")
-    )
-    near = lists.join(classes.select("key", "n"), "key").where(F.col("n_shared") * 100 >= F.col("n") * percent)
+def _lookups(percent: int):
+    """Of a part's classes: (token, key) of the shared shingles within each class's prefix."""
 
-    def run(batches):
-        for batch in batches:
-            keys, tokens = [], []
-            for row in batch.to_pylist():
-                parts = [(x["bucket"], np.frombuffer(x["shared"], "<u8")) for x in row["lists"]]
-                value = np.concatenate([v for _, v in parts])
-                bucket = np.repeat(np.array([b for b, _ in parts], np.uint64), [len(v) for _, v in parts])
-                token = bucket << np.uint64(32) | (value & np.uint64(0xFFFFFFFF))
-                wanted = row["n_shared"] - _least(row["n"], percent) + 1
-                first = np.lexsort((token, value >> np.uint64(32)))[:wanted]
-                tokens += token[first].astype(np.int64).tolist()
-                keys += [row["key"]] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(keys, pa.binary())], ["token", "key"])
+    def run(table: pa.Table) -> pa.Table:
+        buckets = table.column("bucket").to_numpy()
+        held = [_unpack(table.column("payload").slice(i, 1), "<u4", "<u2") for i in range(len(buckets))]
+        names, own = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sizes = np.empty(len(names), np.int64)
+        sizes[own] = np.concatenate([h[1] for h in held])
+        starts = np.cumsum([0, *(len(h[0]) for h in held)])
+        cls = np.concatenate([own[a + h[2]] for a, h in zip(starts, held, strict=False)])
+        token = np.concatenate([np.int64(b) << 32 | h[3].astype(np.int64) for b, h in zip(buckets.tolist(), held, strict=True)])
+        count = np.concatenate([h[4] for h in held])
+        shared = np.bincount(cls, minlength=len(names))
+        wanted = shared - _least(sizes, percent) + 1  # what the prefix has besides shingles of this class alone
+        near = wanted[cls] > 0
+        cls, token, count = cls[near], token[near], count[near]
+        order = np.lexsort((token, count, cls))
+        cls, token = cls[order], token[order]
+        place = np.arange(len(cls)) - np.searchsorted(cls, cls)
+        first = place < wanted[cls]
+        keys = pa.array([n.tobytes() for n in names], pa.binary()).take(pa.array(cls[first], pa.int64()))
+        return pa.table({"token": pa.array(token[first]), "key": keys})
 
-    return near.select("key", "n", "n_shared", "lists").mapInArrow(run, "token long, key binary")
+    return run
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -348,11 +378,11 @@ def link(
     rows = scratch.table(members(docs, **names), "members")
     classes = rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min(F.struct("print", "id")).alias("one"))
 
-    dealt = _dealt(docs, **names, buckets=shuffle_partitions(spark))
-    shared = dealt.groupBy("bucket").applyInArrow(
-        lambda table: _shared(table), "key binary, bucket int, shared binary, n_shared long"
-    )
-    lookups = scratch.table(_lookups(shared, classes, percent), "lookups")
+    buckets = shuffle_partitions(spark)
+    dealt = _dealt(docs, **names, buckets=buckets)
+    shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), "part int, bucket int, payload binary")
+    lookups = shared.groupBy("part").applyInArrow(_lookups(percent), "token long, key binary")
+    lookups = scratch.table(lookups, "lookups")
 
     meet = lookups.groupBy("token").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
     candidates = lookups.join(meet, "token").select("key", "hub")
