@@ -70,7 +70,7 @@ def reset(store: Store, job_id: str) -> None:
 
 def chunk_pages(pages: DataFrame, settings: Settings) -> DataFrame:
     """Pages as cleaned, numbered chunks."""
-    return chunking.number(chunking.clean(chunking.split(pages, settings), settings))
+    return chunking.number(chunking.clean(chunking.split(pages.drop("error"), settings), settings))
 
 
 def ingest_pages(
