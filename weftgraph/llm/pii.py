@@ -27,12 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.common import Scratch, fresh
+from weftgraph.llm.packing import slices
+from weftgraph.llm.words import BASE, hash_words, mix
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs so many distinct seeds, and so high a share of its occurrences.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
 #: Bits of the bitmap of patterns (8 MB), and patterns that one pass over the texts applies.
 BITMAP, PATTERNS_PER_PASS = 1 << 26, 1_000_000
+#: Words are the same as those that hash_words sees.
+WHITE = tuple(" \t\n\x0b\x0c\r")
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
 #: Characters beside an entity in which its neighbouring words are looked for.
 REACH = 4096
 
@@ -124,43 +129,23 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_CACHE = _Words()
-_M = np.uint64(0x9E3779B97F4A7C15)
-
-
 def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        h = (a * _M + b) * _M + np.uint64(salt)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_CACHE) > 500_000:
-        _CACHE.clear()
-    return np.fromiter(map(_CACHE.__getitem__, words), np.uint64, len(words))
+        return mix((a * np.uint64(BASE) + b) * np.uint64(BASE) + np.uint64(salt))
 
 
-def _pattern(a: bytes, b: bytes, salt: int) -> int:
-    h = _hashes([a, b])
+def _pattern(a: str, b: str, salt: int) -> int:
+    h = hash_words([f"{a} {b}"])[0]
     return int(_mix(h[:1], h[1:], salt).astype(np.int64)[0])
 
 
 def around(text: str, start: int, end: int) -> list[int]:
     """The patterns around a span that stands free: (two words on the left), (left, right)."""
-    before = text[max(0, start - REACH) : start]
-    after = text[end : end + REACH]
-    if before and before[-1:].strip() or not before:
+    before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
+    if before[-1:] not in WHITE:
         return []
-    left = [w.encode("utf-8", "surrogatepass").lower() for w in before.rsplit(None, 2)[-2:]]
-    right = [w.encode("utf-8", "surrogatepass").lower() for w in after.split(None, 1)[:1]] if after[:1].isspace() else []
+    left = WORD.findall(before)[-2:]
+    right = WORD.findall(after)[:1] if after[:1] in WHITE else []
     found = []
     if len(left) == 2:
         found.append(_pattern(*left, 1))
@@ -173,16 +158,28 @@ def _instance(value: str) -> int:
     return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _occurrences(text: str, bitmap: np.ndarray) -> np.ndarray:
-    """Hashes of the patterns in the bitmap at each word of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < 3:
+def _marked(pattern: int, bitmap: np.ndarray) -> bool:
+    low = pattern & (BITMAP - 1)
+    return bool(int(bitmap[low >> 6]) >> (low & 63) & 1)
+
+
+def _occurrences(texts: list[str], bitmap: np.ndarray) -> np.ndarray:
+    """Hashes of the patterns in the bitmap at each word of the texts."""
+    h, counts = hash_words(texts)
+    if len(h) < 3:
         return np.empty(0, np.int64)
-    h = _hashes(words)
-    every = np.concatenate([_mix(h[:-2], h[1:-1], 1), _mix(h[:-2], h[2:], 2)])
-    low = every & np.uint64(BITMAP - 1)
-    hit = bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)
-    return every[hit.astype(bool)].astype(np.int64)
+    # a pattern lies within a text: the third word isn't one of the first two of its text
+    inside = np.ones(len(h), bool)
+    starts = np.cumsum(counts) - counts
+    for i in (0, 1):
+        inside[(starts + i)[counts > i]] = False
+    found = []
+    for salt, second in ((1, h[1:-1]), (2, h[2:])):  # left of a word, and around it
+        every = _mix(h[:-2], second, salt)
+        low = every & np.uint64(BITMAP - 1)
+        hit = bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)
+        found.append(every[hit.astype(bool) & inside[2:]])
+    return np.concatenate(found).astype(np.int64)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,source:string>>"
@@ -226,13 +223,14 @@ def _graph(texts: DataFrame, bitmap) -> DataFrame:
     def run(batches):
         for batch in batches:
             seen: Counter = Counter()
-            for text in batch.column(0):
-                t = text.as_py() or ""
-                seen.update((p, None, None) for p in _occurrences(t, bitmap.value).tolist())
+            texts = batch.column(0).to_pylist()
+            for _, some in slices(texts):
+                seen.update((p, None, None) for p in _occurrences(some, bitmap.value).tolist())
+            for t in texts:
                 for a, b in candidates(t, base_spans(t)):
                     value = t[a:b]
                     kinds = tuple(k for k in KINDS if _like(k, value))
-                    seen.update((p, _instance(value), kinds) for p in around(t, a, b) if kinds)
+                    seen.update((p, _instance(value), kinds) for p in around(t, a, b) if kinds and _marked(p, bitmap.value))
             columns = list(zip(*((*key, n) for key, n in seen.items()), strict=True)) or [()] * 4
             types = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -241,15 +239,13 @@ def _graph(texts: DataFrame, bitmap) -> DataFrame:
     return texts.mapInArrow(run, "pattern long, instance long, kinds array<string>, n long")
 
 
-def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame | None:
-    """(pattern, kind, confidence) of all patterns with the support; None if there is none. Texts: one column, no nulls."""
+def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
+    """(pattern, kind, confidence) of all patterns with the support. Texts: one column, no nulls."""
     spark = texts.sparkSession
     scratch = Scratch(spark, "pii")
     counted = _seeds(texts).groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n"))
     strong = counted.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("hits"))
     strong = scratch.table(strong.where(F.col("seeds") >= support), "strong")
-    if strong.isEmpty():
-        return None
     bitmap = spark.sparkContext.broadcast(_bitmap(strong.select("pattern").distinct()))
     graph = _graph(texts, bitmap).groupBy("pattern", "instance", "kinds").agg(F.sum("n").alias("n"))
     graph = scratch.table(graph.join(strong.select("pattern").distinct(), "pattern", "left_semi"), "graph")
@@ -328,10 +324,8 @@ def annotate(docs: DataFrame, *, text_col: str = "text", name: str = "spans", su
         return run
 
     out = docs.mapInArrow(seeds, schema)
-    scored = score_patterns(texts, support=support)
-    if scored is not None:
-        for known in _passes(scored.where(F.col("confidence") >= CONFIDENCE)):
-            out = out.mapInArrow(more(known), schema)
+    for known in _passes(score_patterns(texts, support=support).where(F.col("confidence") >= CONFIDENCE)):
+        out = out.mapInArrow(more(known), schema)
     return out
 
 
