@@ -22,23 +22,20 @@ table gives no rows; extra columns are ignored by ``link`` and kept by ``keep_on
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Scratch, fresh, shuffle_partitions
 from weftgraph.llm.components import connected_components
+from weftgraph.llm.packing import slices
+from weftgraph.llm.words import BASE, hash_words, mix
 
 WIDTH = 5
 PERCENT = 80
-#: Odd multipliers of the hash.
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-#: A worker keeps the hashes of so many words.
-CACHED_WORDS = 500_000
 #: Hashes that a task gathers before it deals them to buckets, and that a bucket sorts at once.
 GATHERED = 4_000_000
 #: A tile holds at most about so many sets and hashes; beyond, its component is dealt by size band and salt.
@@ -46,88 +43,86 @@ TILE_SETS, TILE_HASHES = 2048, 4_000_000
 #: Rows are sent to all executors only up to this number (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
-_WORDS: dict[bytes, int] = {}
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_CACHE = _Words()
+def shingle_sets(texts: Sequence[str | None], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    words, counts = hash_words(texts)
+
+    def spans(first: np.ndarray, span: int) -> np.ndarray:
+        """Hashes of the runs of ``span`` words from each place in ``first``."""
+        with np.errstate(over="ignore"):
+            h = np.full(len(first), span, np.uint64)
+            for i in range(span):
+                h = h * np.uint64(BASE) + words[first + i]
+        return mix(h)
+
+    whole = spans(np.arange(max(0, len(words) - width + 1)), width)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= width:
+            out.append(np.unique(whole[at : at + n - width + 1]))
+        else:
+            out.append(spans(np.array([at]), n) if n else np.empty(0, np.uint64))
+        at += n
+    return out
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(_CACHE) > CACHED_WORDS:
-        _CACHE.clear()
-    ids = np.fromiter(map(_CACHE.__getitem__, words), np.uint64, len(words))
-    span = min(width, len(words))
-    with np.errstate(over="ignore"):
-        n = len(words) - span + 1
-        h = np.full(n, span, np.uint64)
-        for i in range(span):
-            h = h * MULTIPLIER + ids[i : i + n]
-        h ^= h >> np.uint64(30)
-        h *= MIX[0]
-        h ^= h >> np.uint64(27)
-        h *= MIX[1]
-        h ^= h >> np.uint64(31)
-    return np.unique(h)
+    return shingle_sets([text], width)[0]
 
 
 def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def short_key(key: bytes) -> int:
+    """Half of a key. Candidates are found by it; classes that had it in common would be candidates of each other."""
+    return int.from_bytes(key[:8], "little", signed=True)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("print"))
 
 
 def members(docs: DataFrame, *, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """One row per document: id, print (hash of the text), key of its class (null if empty), n (set size)."""
+    """One row per document: id, print (hash of the text), key and short key of its class (null if empty), n (set size)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             keys, sizes = [], []
-            for text in batch.column(1):
-                h = shingles(text.as_py(), width)
-                sizes.append(len(h))
-                keys.append(set_key(h) if len(h) else None)
-            arrays = [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "print", "key", "n"])
+            for _, texts in slices(batch.column(1).to_pylist()):
+                for h in shingle_sets(texts, width):
+                    sizes.append(len(h))
+                    keys.append(set_key(h) if len(h) else None)
+            shorts = [None if k is None else short_key(k) for k in keys]
+            arrays = [pa.array(keys, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["id", "print", "key", "short", "n"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, print long, key binary, n long")
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, print long, key binary, short long, n long")
 
 
-def _pack(keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> bytes:
-    """Classes with their sizes and numbers of values, and the values, class by class, as one payload."""
-    parts = (np.array([len(keys)], "<u4"), keys, sizes.astype("<u4"), counts.astype("<u4"), *values)
+def _pack(shorts: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> bytes:
+    """Classes with their numbers of values, and the values, class by class, as one payload."""
+    size = 1 if counts.max() < 256 else 4
+    parts = (np.array([len(shorts), size], "<u4"), shorts.astype("<i8"), counts.astype(f"<u{size}"), *values)
     return b"".join(p.tobytes() for p in parts)
 
 
 def _unpack(payloads: pa.ChunkedArray, *kinds: str):
-    """The classes of many payloads: distinct keys, their sizes, and for each value its class, then the values."""
-    keys, sizes, counts, values = [], [], [], [[] for _ in kinds]
+    """The classes of many payloads: their distinct short keys, and for each value its class, then the values."""
+    shorts, counts, values = [], [], [[] for _ in kinds]
     for payload in payloads:
         raw = payload.as_buffer()
-        n = int(np.frombuffer(raw, "<u4", 1)[0])
-        keys.append(np.frombuffer(raw, "V16", n, 4))
-        sizes.append(np.frombuffer(raw, "<u4", n, 4 + 16 * n))
-        counts.append(np.frombuffer(raw, "<u4", n, 4 + 20 * n))
-        at, total = 4 + 24 * n, int(counts[-1].sum())
+        n, size = np.frombuffer(raw, "<u4", 2).tolist()
+        shorts.append(np.frombuffer(raw, "<i8", n, 8))
+        counts.append(np.frombuffer(raw, f"<u{size}", n, 8 + 8 * n))
+        at, total = 8 + (8 + size) * n, int(counts[-1].sum())
         for kind, found in zip(kinds, values, strict=True):
             found.append(np.frombuffer(raw, kind, total, at))
             at += found[-1].nbytes
-    names, first, own = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    of = np.repeat(own, np.concatenate(counts))
-    return names, np.concatenate(sizes)[first], of, *map(np.concatenate, values)
+    names, own = np.unique(np.concatenate(shorts), return_inverse=True)
+    return names, np.repeat(own, np.concatenate(counts)), *map(np.concatenate, values)
 
 
 def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -138,32 +133,31 @@ def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
 def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets: int) -> DataFrame:
     """Hashes of each class dealt to buckets: (bucket, payload); payloads hold the lower 32 bits."""
 
-    def flush(keys: list[bytes], sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        of = np.repeat(np.arange(len(sets)), sizes)
+    def flush(keys: list[int], sets: list[np.ndarray]):
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         every = np.concatenate(sets)
         high = ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((of, high))
         high, of, low = high[order], of[order], every[order].astype("<u4")
-        names = np.frombuffer(b"".join(keys), "V16")
+        names = np.array(keys, np.int64)
         rows, payloads = [], []
         for a, b in _runs(high):
             own, counts = np.unique(of[a:b], return_counts=True)
-            payloads.append(_pack(names[own], sizes[own], counts, low[a:b]))
+            payloads.append(_pack(names[own], counts, low[a:b]))
             rows.append(high[a])
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
     def run(batches):
         keys, sets, size, seen = [], [], 0, set()
         for batch in batches:
-            for text in batch.column(1):
-                h = shingles(text.as_py(), width)
-                if not len(h) or (key := set_key(h)) in seen:
-                    continue
-                seen.add(key)
-                keys.append(key)
-                sets.append(h)
-                size += len(h)
+            for _, texts in slices(batch.column(1).to_pylist()):
+                for h in shingle_sets(texts, width):
+                    if not len(h) or (key := short_key(set_key(h))) in seen:
+                        continue
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(h)
+                    size += len(h)
                 if size >= GATHERED:
                     yield flush(keys, sets)
                     keys, sets, size = [], [], 0
@@ -177,7 +171,7 @@ def _shared(buckets: int):
     """Of a bucket: the hashes that several classes have, with the number of classes, dealt to parts by class."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, sizes, of, low = _unpack(table.column("payload"), "<u4")
+        names, of, low = _unpack(table.column("payload"), "<u4")
         ranges = max(1, len(low) // GATHERED + 1)
         classes, hashes, times = [], [], []
         for part in range(ranges):  # a range of hashes at a time
@@ -192,13 +186,13 @@ def _shared(buckets: int):
             hashes.append(value[many].astype("<u4"))
             times.append(np.minimum(count[many], 0xFFFF).astype("<u2"))
         cls, value, count = map(np.concatenate, (classes, hashes, times))
-        part = (np.frombuffer(names.tobytes(), "<u8")[::2] % np.uint64(buckets)).astype(np.int64)
+        part = names % buckets
         order = np.lexsort((cls, part[cls]))
         cls, value, count = cls[order], value[order], count[order]
         rows, payloads = [], []
         for a, b in _runs(part[cls]):
             own, n = np.unique(cls[a:b], return_counts=True)
-            payloads.append(_pack(names[own], sizes[own], n, value[a:b], count[a:b]))
+            payloads.append(_pack(names[own], n, value[a:b], count[a:b]))
             rows.append(part[cls[a]])
         bucket = table.column("bucket")[0].as_py()
         return pa.table({
@@ -216,30 +210,32 @@ def _least(n, percent: int):
 
 
 def _lookups(percent: int):
-    """Of a part's classes: (token, key) of the shared shingles within each class's prefix."""
+    """Of a part's classes: (token, short) of the shared shingles within each class's prefix."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"token": pa.array([], pa.int64()), "short": pa.array([], pa.int64())})
         buckets = table.column("bucket").to_numpy()
         held = [_unpack(table.column("payload").slice(i, 1), "<u4", "<u2") for i in range(len(buckets))]
         names, own = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        sizes = np.empty(len(names), np.int64)
-        sizes[own] = np.concatenate([h[1] for h in held])
+        sizes = known.column("n").to_numpy()[np.searchsorted(known.column("short").to_numpy(), names)]
         starts = np.cumsum([0, *(len(h[0]) for h in held)])
-        cls = np.concatenate([own[a + h[2]] for a, h in zip(starts, held, strict=False)])
-        token = np.concatenate([np.int64(b) << 32 | h[3].astype(np.int64) for b, h in zip(buckets.tolist(), held, strict=True)])
-        count = np.concatenate([h[4] for h in held])
+        cls = np.concatenate([own[a + of] for a, (_, of, _, _) in zip(starts, held, strict=False)])
+        token = np.concatenate([np.int64(b) << 32 | low.astype(np.int64) for b, (_, _, low, _) in zip(buckets.tolist(), held, strict=True)])
+        count = np.concatenate([h[3] for h in held])
         shared = np.bincount(cls, minlength=len(names))
         wanted = shared - _least(sizes, percent) + 1  # what the prefix has besides shingles of this class alone
         near = wanted[cls] > 0
         cls, token, count = cls[near], token[near], count[near]
         order = np.lexsort((token, count, cls))
         cls, token = cls[order], token[order]
-        place = np.arange(len(cls)) - np.searchsorted(cls, cls)
-        first = place < wanted[cls]
-        keys = pa.array([n.tobytes() for n in names], pa.binary()).take(pa.array(cls[first], pa.int64()))
-        return pa.table({"token": pa.array(token[first]), "key": keys})
+        first = np.arange(len(cls)) - np.searchsorted(cls, cls) < wanted[cls]
+        return pa.table({"token": pa.array(token[first]), "short": pa.array(names[cls[first]])})
 
-    return run
+    def sorted_known(table: pa.Table, known: pa.Table) -> pa.Table:
+        return run(table, known.sort_by("short"))
+
+    return sorted_known
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -327,7 +323,7 @@ def settle(sets: list[np.ndarray], sides: list[str], percent: int) -> list[int]:
 
 def _linked(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        groups: dict[bytes, dict[bytes, tuple[np.ndarray, str]]] = {}
+        groups: dict[int, dict[bytes, tuple[np.ndarray, str]]] = {}
         for root, key, side, raw in zip(*(table.column(c) for c in ("root", "key", "side", "hashes")), strict=True):
             groups.setdefault(root.as_py(), {}).setdefault(
                 key.as_py(), (np.frombuffer(raw.as_buffer(), "<u8"), side.as_py())
@@ -361,10 +357,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, wid
 
     def run(batches):
         for batch in batches:
-            hashes = pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(0)], pa.binary())
+            parts = slices(batch.column(0).to_pylist())
+            hashes = pa.array([h.tobytes() for _, texts in parts for h in shingle_sets(texts, width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], hashes], ["key", "root", "side", "tiles", "hashes"])
 
-    done = small.mapInArrow(run, "key binary, root binary, side string, tiles array<string>, hashes binary")
+    done = small.mapInArrow(run, "key binary, root long, side string, tiles array<string>, hashes binary")
     return done.select("root", "key", "side", "hashes", F.explode("tiles").alias("tile"))
 
 
@@ -376,18 +373,22 @@ def link(
     scratch = Scratch(spark, "ngram")
     names = {"id_col": id_col, "text_col": text_col, "width": width}
     rows = scratch.table(members(docs, **names), "members")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min(F.struct("print", "id")).alias("one"))
+    classes = rows.where("n > 0").groupBy("key").agg(
+        F.min("n").alias("n"), F.min("short").alias("short"), F.min(F.struct("print", "id")).alias("one")
+    )
 
     buckets = shuffle_partitions(spark)
     dealt = _dealt(docs, **names, buckets=buckets)
     shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), "part int, bucket int, payload binary")
-    lookups = shared.groupBy("part").applyInArrow(_lookups(percent), "token long, key binary")
+    # of classes with one short key the smallest decides, which looks up most
+    sizes = rows.where("n > 0").groupBy("short").agg(F.min("n").alias("n")).withColumn("part", F.expr(f"cast(pmod(short, {buckets}) as int)"))
+    lookups = shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_lookups(percent), "token long, short long")
     lookups = scratch.table(lookups, "lookups")
 
-    meet = lookups.groupBy("token").agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    candidates = lookups.join(meet, "token").select("key", "hub")
-    roots = connected_components(scratch, candidates, "key", "hub").select(F.col("node").alias("key"), "root")
-    comps = scratch.table(roots.join(classes.select("key", "n", "one"), "key"), "candidates")
+    meet = lookups.groupBy("token").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    candidates = lookups.join(meet, "token").select("short", "hub")
+    roots = connected_components(scratch, candidates, "short", "hub").select(F.col("node").alias("short"), "root")
+    comps = scratch.table(roots.join(classes, "short").drop("short"), "candidates")
     tiles = _tiles(scratch, comps, percent).join(comps.select("key", "one"), "key")
     wanted = scratch.table(tiles.select("key", "root", "side", "tiles", "one.print", "one.id"), "tiles")
     sets = _sets(docs, wanted, **names)
