@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.config import ENTITY_LABELS, Settings
 from weftgraph.functions import text
-from weftgraph.operators import aggregate, chunks, graph, rank, search, traverse
-from weftgraph.plans import star_graph
+from weftgraph.operators import aggregate, chunks, extract, graph, rank, search, traverse
+from weftgraph.plans import jobs, star_graph
+from weftgraph.plans.hybrid import Hybrid
 from weftgraph.plans.star_graph import table
+from weftgraph.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -671,3 +673,66 @@ def job_counters(spark, sf_dir):
         F.lit(None).cast("long").alias("rels"),
     )
     return aggregate.job_counters(rows)
+
+
+@query("""SELECT 'file' || p_partkey AS path FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)""")
+def pending_files(spark, sf_dir):
+    listed = table(spark, sf_dir, "part").select(F.concat(F.lit("file"), F.col("p_partkey").cast("string")).alias("path"))
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.concat(F.lit("file"), F.col("l_partkey").cast("string")).alias("path"))
+    return files.pending(listed, done)
+
+
+@query("""SELECT o_orderstatus AS job_id, 'o' || o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'done' ELSE 'failed' END AS status FROM orders
+    UNION ALL SELECT 'X', 'o' || o_orderkey, 'done' FROM orders WHERE o_orderkey % 7 = 0""")
+def ledger_mark(spark, sf_dir):
+    path = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path")
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("job_id"), path, F.lit("failed").alias("status"))
+    seven = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    new = seven.select(F.col("o_orderstatus").alias("job_id"), path, F.lit("done").alias("status"))
+    return jobs.mark(old, new.unionByName(seven.select(F.lit("X").alias("job_id"), path, F.lit("done").alias("status"))))
+
+
+@query(_with_graph("SELECT id, coalesce(name, '') AS name, label AS labels FROM nodes WHERE label IN ('Supplier', 'Nation')"))
+def label_filter(spark, sf_dir):
+    nodes = star_graph.star_graph(spark, sf_dir).nodes.where(graph.has_label("labels", "supplier", "NATION"))
+    return nodes.select("id", F.coalesce("name", F.lit("")).alias("name"), F.array_join("labels", ",").alias("labels"))
+
+
+@query(_with_graph("SELECT id, name, label AS labels FROM nodes WHERE id = 'P7'"))
+def node_by_id(spark, sf_dir):
+    return search.node_by_id(star_graph.star_graph(spark, sf_dir), "P7").select("id", "name", F.array_join("labels", ",").alias("labels"))
+
+
+@query()
+def hash_embed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return extract.embed(docs, extract.HashingEmbedder(64), text_col="text").select("doc_id", "embedding")
+
+
+@query()
+def gazetteer_extract(spark, sf_dir):
+    """Entities and relationships of all documents, found by names and cues, enriched."""
+    names = {"Apache License": "License", "Public License": "License", "MIT License": "License", "The": "Concept", "De": "Concept"}
+    chunked = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("source_file"))
+    found = extract.extract(chunked, extract.GazetteerExtractor(names))
+    nodes = extract.enriched_nodes(found)
+    return nodes.select("id", "name", F.array_join("labels", ",").alias("labels"), "description", "confidence", "source_document", "source_chunk")
+
+
+@query()
+def hybrid_query(spark, sf_dir):
+    """A question answered over documents, benchmark passages as entities, and their mentions."""
+    embedder = extract.HashingEmbedder(64)
+    docs = star_graph.documents(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("id"), F.regexp_extract("text", r"^\S+ \S+ \S+", 0).alias("name"),
+        F.array(F.lit("Concept")).alias("labels"), F.col("text").alias("description"),
+    )
+    g = graph.Graph(
+        graph.cut(extract.embed(items, embedder, text_col="description")), graph.cut(extract.embed(docs, embedder, text_col="text")),
+        star_graph.relationships(spark, sf_dir).where("type = 'MENTIONS'"),
+    )
+    asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
+    out = Hybrid(g, embedder, settings=Settings(entity_threshold=0.5, document_threshold=0.5)).answer(asked[:200])
+    row = (out["status"], out["method"], out["confidence"], out["doc_chunks_used"], [e["id"] for e in out["entities_found"]])
+    return spark.createDataFrame([row], "status string, method string, confidence double, doc_chunks_used int, entities array<string>")
