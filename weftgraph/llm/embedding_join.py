@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch
+from weftgraph.llm.common import Scratch, trimmed
 from weftgraph.llm.components import connected_components
 
 COSINE = 0.9
@@ -81,7 +81,7 @@ def _moments(vectors: DataFrame, dim: int) -> np.ndarray:
                 total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["at", "value"])
 
-    sums = vectors.select("vector").mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value"))
+    sums = vectors.select("vector").mapInArrow(trimmed(run), "at long, value double").groupBy("at").agg(F.sum("value"))
     out = np.zeros(dim * dim)
     for at, value in sums.collect():
         out[at] = value
@@ -209,20 +209,31 @@ def _join(plan: Plan, cosine: float):
         x, weight, part, keys = x[order], weight[order], part[order], [keys[i] for i in order]
         m, split = len(x), int((~part).sum())
         norm = np.sqrt((x * x).sum(axis=1))
-        rotated = _rotate(_unit(x), plan.axes)
         b, budget = plan.blocks[block], plan.budgets[block]
-        y = rotated[:, b.start : b.stop].astype(np.float32)
+        # close enough to choose candidates by; what decides is computed row by row below
+        scale = np.abs(x).max(axis=1, keepdims=True)
+        unit = (x / scale) / np.linalg.norm(x / scale, axis=1, keepdims=True)
+        y = (unit @ plan.axes[:, b.start : b.stop]).astype(np.float32)
+        del unit
         half = (y * y).sum(axis=1, dtype=np.float32) / 2
         one = np.ones(m, np.float32)
         left, right = np.column_stack([y, -half, one]), np.ascontiguousarray(np.column_stack([y, one, -half]).T)
         links, label = np.zeros(m, np.int64), np.arange(m)
 
-        def distance(k: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            total = np.zeros(len(i))
-            for axis in plan.blocks[k]:
-                gap = rotated[i, axis] - rotated[j, axis]
-                total += gap * gap
-            return total
+        def first_block(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether this is the first block whose budget holds a pair."""
+            rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            rotated = _rotate(_unit(x[rows]), plan.axes)
+            i, j = at[: len(i)], at[len(i) :]
+            first = np.ones(len(i), bool)
+            for k in range(block + 1):
+                total = np.zeros(len(i))
+                for axis in plan.blocks[k]:
+                    gap = rotated[i, axis] - rotated[j, axis]
+                    total += gap * gap
+                within = total <= plan.budgets[k]
+                first &= within if k == block else ~within
+            return first
 
         step = max(1, 4_000_000 // m)
         for at in range(0, split if across else m, step):
@@ -238,10 +249,7 @@ def _join(plan: Plan, cosine: float):
                 dot = np.einsum("ij,ij->i", x[i], x[j])
                 sure = dot >= cosine * (norm[i] * norm[j])
                 i, j = i[sure], j[sure]
-                # the first block whose budget holds the pair counts it
-                mine = distance(block, i, j) <= budget
-                for k in range(block):
-                    mine &= distance(k, i, j) > plan.budgets[k]
+                mine = first_block(i, j)
                 i, j = i[mine], j[mine]
                 np.add.at(links, i, weight[j])
                 np.add.at(links, j, weight[i])
@@ -274,7 +282,7 @@ def _links(scratch: Scratch, vectors: DataFrame, dim: int, count: int, cosine: f
                     arrays = [pa.array([block] * len(n), pa.int32()), pa.array(number), pa.array(n)]
                     yield pa.RecordBatch.from_arrays(arrays, ["block", "leaf", "n"])
 
-    sizes = vectors.select("vector").mapInArrow(own, "block int, leaf long, n long")
+    sizes = vectors.select("vector").mapInArrow(trimmed(own), "block int, leaf long, n long")
     for block, leaf, n in sizes.groupBy("block", "leaf").agg(F.sum("n")).collect():
         plan.parts[block, leaf] = -(-n // cell)
 
@@ -290,7 +298,7 @@ def _links(scratch: Scratch, vectors: DataFrame, dim: int, count: int, cosine: f
 
     salted = vectors.select("key", "vector", "weight", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)).alias("salt"))
     element = vectors.schema["vector"].dataType.simpleString()
-    dealt = salted.mapInArrow(deal, f"key binary, vector {element}, weight long, tile string, part string")
+    dealt = salted.mapInArrow(trimmed(deal), f"key binary, vector {element}, weight long, tile string, part string")
     return dealt.groupBy("tile").applyInArrow(_join(plan, cosine), "key binary, links long, root binary")
 
 
