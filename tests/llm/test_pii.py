@@ -68,6 +68,15 @@ def test_patterns_discover_unseen_numbers(found):
     assert all(not found[200 + i] for i in range(9)) and not found[300] and not found[301] and not found[302]
 
 
+def test_patterns_in_several_passes(spark, found, monkeypatch):
+    monkeypatch.setattr(pii, "PATTERNS_PER_PASS", 1)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    again = {r["id"]: [(s["kind"], s["start"], s["end"], s["source"]) for s in r["spans"]] for r in pii.find(docs).collect()}
+    assert again == found
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert masked[100] == "Please call me at [PHONE] or later today" and masked[302] is None
+
+
 def test_seeds_stay(found):
     for i, text in corpus():
         assert [s[:3] for s in found[i] if s[3] == "base"] == plain_spans(text or "")

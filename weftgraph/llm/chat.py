@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import prepare, trimmed
+
 #: Roles of other layouts under their canonical names.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
@@ -162,6 +164,7 @@ def _row(record: str | None) -> tuple:
 
 def format_records(records: DataFrame, *, id_col: str, record_col: str) -> DataFrame:
     """One row per record: id, layout, fingerprint, formatted, the loss mask's spans, and digests read back from them."""
+    prepare(records.sparkSession)
     kind = records.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -174,7 +177,7 @@ def format_records(records: DataFrame, *, id_col: str, record_col: str) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", *labels])
 
     chosen = records.select(F.col(id_col).alias("id"), F.col(record_col).cast("string").alias("record"))
-    return chosen.mapInArrow(run, f"id {kind}, {SCHEMA}")
+    return chosen.mapInArrow(trimmed(run), f"id {kind}, {SCHEMA}")
 
 
 def records_of_turns(

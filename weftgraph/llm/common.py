@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -10,12 +11,19 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of the batches that Python workers get, where the session doesn't say: texts are long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let this machine's Python workers find the package; on a cluster it is installed or sent with --py-files."""
+    """Let this machine's Python workers find the package (on a cluster it is installed or sent with --py-files), and keep
+    their batches small."""
+    own = dict(spark.sparkContext.getConf().getAll())
+    for key, value in BATCH.items():
+        if key not in own:
+            spark.conf.set(key, value)
     path = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in path.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
@@ -68,6 +76,23 @@ class Scratch:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def release() -> None:
+    """Hand freed memory back to the system, where the C library can: workers outlive their tasks."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run):
+    """A function of batches that releases memory after its last one."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

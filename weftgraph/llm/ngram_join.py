@@ -10,6 +10,8 @@ sequence if there are fewer). Documents with one set are one class, named by a 1
    shared shingles. A class with less than 80 % of its shingles shared looks up nothing.
 3. Classes that meet on such a shingle form candidate components. A component's classes go to tiles by size band (sizes
    of linked sets differ by a quarter at most, so only equal and adjacent bands meet) and, where a band is large, by salt.
+   One class of each band stands in all its tiles, so that a large group of near copies is one known part after a pass that
+   grows with the group; only classes outside the largest part of their component then visit the other tiles.
 4. Within a tile, bit counts of hashed bitmap signatures bound the overlap from above (each bit in which two signatures
    differ stands for a shingle that only one of them has); pairs that pass are settled by intersecting sorted arrays.
    Pairs already known to be connected are skipped.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch, fresh, shuffle_partitions
+from weftgraph.llm.common import Scratch, fresh, release, shuffle_partitions, trimmed
 from weftgraph.llm.components import connected_components
 from weftgraph.llm.packing import slices
 from weftgraph.llm.words import BASE, hash_words, mix
@@ -37,7 +39,7 @@ from weftgraph.llm.words import BASE, hash_words, mix
 WIDTH = 5
 PERCENT = 80
 #: Hashes that a task gathers before it deals them to buckets, and that a bucket sorts at once.
-GATHERED = 4_000_000
+GATHERED = 1_000_000
 #: A tile holds at most about so many sets and hashes; beyond, its component is dealt by size band and salt.
 TILE_SETS, TILE_HASHES = 2048, 4_000_000
 #: Rows are sent to all executors only up to this number (about 100 bytes each); beyond, the join shuffles.
@@ -99,7 +101,7 @@ def members(docs: DataFrame, *, id_col: str, text_col: str, width: int = WIDTH)
             arrays = [pa.array(keys, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["id", "print", "key", "short", "n"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, print long, key binary, short long, n long")
+    return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, print long, key binary, short long, n long")
 
 
 def _pack(shorts: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> bytes:
@@ -122,7 +124,7 @@ def _unpack(payloads: pa.ChunkedArray, *kinds: str):
             found.append(np.frombuffer(raw, kind, total, at))
             at += found[-1].nbytes
     names, own = np.unique(np.concatenate(shorts), return_inverse=True)
-    return names, np.repeat(own, np.concatenate(counts)), *map(np.concatenate, values)
+    return names, np.repeat(own.astype(np.int32), np.concatenate(counts)), *map(np.concatenate, values)
 
 
 def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -134,11 +136,12 @@ def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets:
     """Hashes of each class dealt to buckets: (bucket, payload); payloads hold the lower 32 bits."""
 
     def flush(keys: list[int], sets: list[np.ndarray]):
-        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         every = np.concatenate(sets)
-        high = ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((of, high))
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+        high = ((every >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(high, kind="stable")  # classes stay in order
         high, of, low = high[order], of[order], every[order].astype("<u4")
+        del every, order
         names = np.array(keys, np.int64)
         rows, payloads = [], []
         for a, b in _runs(high):
@@ -164,7 +167,7 @@ def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets:
         if sets:
             yield flush(keys, sets)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "bucket int, payload binary")
+    return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), "bucket int, payload binary")
 
 
 def _shared(buckets: int):
@@ -195,6 +198,7 @@ def _shared(buckets: int):
             payloads.append(_pack(names[own], n, value[a:b], count[a:b]))
             rows.append(part[cls[a]])
         bucket = table.column("bucket")[0].as_py()
+        release()
         return pa.table({
             "part": pa.array(rows, pa.int32()),
             "bucket": pa.array([bucket] * len(rows), pa.int32()),
@@ -243,8 +247,13 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
 
 
-def _tiles(scratch: Scratch, comps: DataFrame, percent: int) -> DataFrame:
-    """Adds tiles (names of the tiles a class goes to) and side (its own chunk) to (key, n, root)."""
+#: Tiles of a class's own band and the adjacent ones: {of} names a tile of a band and a salt.
+_AROUND = """flatten(transform(filter(array(band - 1, band, band + 1), b -> map_contains_key(salts, b)),
+    b -> transform(sequence(0, salts[b] - 1), s -> {of})))"""
+
+
+def _chunks(scratch: Scratch, comps: DataFrame, percent: int) -> DataFrame:
+    """Adds to (key, n, root, ...): band, salts (of the component's bands), salt and small (one tile holds all)."""
     banded = comps.withColumn("band", _band(F.col("n"), percent))
     bands = banded.groupBy("root", "band").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("hashes"))
     salts = F.greatest(F.ceil(F.col("sets") / TILE_SETS), F.ceil(F.col("hashes") / TILE_HASHES)).cast("int")
@@ -254,36 +263,68 @@ def _tiles(scratch: Scratch, comps: DataFrame, percent: int) -> DataFrame:
         F.sum("hashes").alias("hashes"),
     )
     whole = whole.withColumn("small", (F.col("sets") <= TILE_SETS) & (F.col("hashes") <= TILE_HASHES))
-    whole = scratch.table(whole, "sizes")
-    total = whole.where("small").agg(F.sum("hashes")).first()[0] or 0
+    joined = banded.join(whole, "root").withColumn("salt", F.expr("cast(pmod(xxhash64(key), salts[band]) as int)"))
+    return scratch.table(joined, "chunks")
+
+
+def _own_tiles(chunks: DataFrame) -> DataFrame:
+    """Each class in the tile of its chunk; a small component is in one tile, which it shares with others.
+
+    One class of each band of a large component stands in all tiles of its own and the adjacent bands, so that what is
+    like it is connected across tiles.
+    """
+    total = chunks.where("small").agg(F.sum("n")).first()[0] or 0
     groups = max(1, -(-int(total) // (TILE_HASHES // 4)))
-    joined = banded.join(whole.select("root", "salts", "small"), "root")
-    salt = F.expr("pmod(xxhash64(key), salts[band])").cast("int")
-    joined = joined.withColumn("salt", salt)
-    tiles = F.expr(
-        f"""CASE WHEN small THEN array(concat('s', pmod(xxhash64(root), {groups}))) ELSE concat(
-          transform(sequence(0, salts[band] - 1), t ->
-            concat_ws(':', hex(root), band, least(salt, t), band, greatest(salt, t))),
-          CASE WHEN map_contains_key(salts, band + 1) THEN transform(sequence(0, salts[band + 1] - 1), t ->
-            concat_ws(':', hex(root), band, salt, band + 1, t)) ELSE array() END,
-          CASE WHEN map_contains_key(salts, band - 1) THEN transform(sequence(0, salts[band - 1] - 1), t ->
-            concat_ws(':', hex(root), band - 1, t, band, salt)) ELSE array() END) END"""
+    small = chunks.where("small").withColumn("tiles", F.expr(f"array(concat('s', pmod(xxhash64(root), {groups})))"))
+    large = chunks.where("NOT small")
+    heads = large.groupBy("root", "band").agg(F.min("key").alias("head"))
+    every = F.expr(_AROUND.format(of="concat_ws(':', root, b, s)"))
+    tiles = F.when(F.col("key") == F.col("head"), every).otherwise(F.array(F.concat_ws(":", "root", "band", "salt")))
+    large = large.join(heads, ["root", "band"]).withColumn("tiles", tiles).drop("head")
+    return small.unionByName(large).withColumn("side", F.lit(""))
+
+
+def _cross_tiles(scratch: Scratch, chunks: DataFrame, linked: DataFrame) -> DataFrame | None:
+    """What is left to compare in large components: classes outside the largest known part of theirs, with all others.
+
+    Such a class visits the chunks of its own and the adjacent bands but its own one, where it has been compared; visitors
+    that are many come in groups. None if there are no such classes.
+    """
+    large = chunks.where("NOT small").join(linked.select(F.col("node").alias("key"), F.col("root").alias("part")), "key", "left")
+    large = large.withColumn("part", F.coalesce("part", "key"))
+    parts = large.groupBy("root", "part").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("hashes"))
+    main = parts.groupBy("root").agg(
+        F.max(F.struct("sets", "part")).alias("main"), F.sum("sets").alias("all_sets"), F.sum("hashes").alias("all_hashes"),
+        F.max_by("hashes", F.struct("sets", "part")).alias("main_hashes"),
+    )
+    rest = F.greatest(
+        F.ceil((F.col("all_sets") - F.col("main.sets")) / TILE_SETS), F.ceil((F.col("all_hashes") - F.col("main_hashes")) / TILE_HASHES)
     )
-    side = F.when(F.col("small"), F.lit("")).otherwise(F.concat_ws(":", "band", "salt"))
-    return joined.select("key", "n", "root", tiles.alias("tiles"), side.alias("side"))
+    main = main.select("root", F.col("main.part").alias("main"), rest.cast("int").alias("groups")).where("groups > 0")
+    main = scratch.table(main, "main")
+    if main.isEmpty():
+        return None
+    left = large.join(main, "root")
+    home = F.expr("transform(sequence(0, groups - 1), g -> concat_ws(':', root, band, salt, g))")
+    members = left.withColumn("tiles", home).withColumn("side", F.lit("home"))
+    visits = F.expr("filter(" + _AROUND.format(of="struct(b AS band, s AS salt)") + ", t -> t.band <> band OR t.salt <> salt)")
+    named = "transform(visits, t -> concat_ws(':', root, t.band, t.salt, pmod(xxhash64(key, 1), groups)))"
+    visitors = left.where("part <> main").withColumn("visits", visits).withColumn("tiles", F.expr(named))
+    visitors = visitors.where("size(tiles) > 0").withColumn("side", F.lit("visitor")).drop("visits")
+    return members.unionByName(visitors).drop("main", "groups", "part")
 
 
 def settle(sets: list[np.ndarray], sides: list[str], percent: int) -> list[int]:
     """Labels of sets (sorted arrays): equal for sets that links within the tile connect.
 
-    If the sets are of two sides, only pairs across are looked at.
+    If the sets are of two sides, only pairs with a visitor are looked at.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sets, sizes = [sets[i] for i in order], sizes[order]
-    side = np.array([sides[i] != sides[0] for i in order])
-    across = bool(side.any())
+    visitor = np.array([sides[i] == "visitor" for i in order])
+    across = any(sides)
     width = 64
     while width < 2 * sizes[-1]:
         width *= 2
@@ -298,8 +339,8 @@ def settle(sets: list[np.ndarray], sides: list[str], percent: int) -> list[int]:
         end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
         others = np.arange(i + 1, max(i + 1, end))
         others = others[label[others] != label[i]]
-        if across:
-            others = others[side[others] != side[i]]
+        if across and not visitor[i]:
+            others = others[visitor[others]]
         if not len(others):
             continue
         differ = np.bitwise_count(signatures[others] ^ signatures[i]).sum(axis=1, dtype=np.int64)
@@ -331,11 +372,14 @@ def _linked(percent: int):
         a, b = [], []
         for found in groups.values():
             keys = list(found)
+            if all(side == "home" for _, side in found.values()):
+                continue
             first: dict[int, bytes] = {}
             for key, label in zip(keys, settle(*map(list, zip(*found.values(), strict=True)), percent), strict=True):
                 if first.setdefault(label, key) != key:
                     a.append(first[label])
                     b.append(key)
+        release()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
@@ -361,10 +405,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, wid
             hashes = pa.array([h.tobytes() for _, texts in parts for h in shingle_sets(texts, width)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], hashes], ["key", "root", "side", "tiles", "hashes"])
 
-    done = small.mapInArrow(run, "key binary, root long, side string, tiles array<string>, hashes binary")
+    done = small.mapInArrow(trimmed(run), "key binary, root long, side string, tiles array<string>, hashes binary")
     return done.select("root", "key", "side", "hashes", F.explode("tiles").alias("tile"))
 
 
+def _compare(scratch: Scratch, docs: DataFrame, tiles: DataFrame, percent: int, **names) -> DataFrame:
+    """(a, b): links found in the tiles, as many as connect what links there connect."""
+    wanted = scratch.table(tiles.select("key", "root", "side", "tiles", "one.print", "one.id"), "tiles")
+    sets = _sets(docs, wanted, **names)
+    return scratch.table(sets.groupBy("tile").applyInArrow(_linked(percent), "a binary, b binary"), "links")
+
+
 def link(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
@@ -389,11 +440,13 @@ def link(
     candidates = lookups.join(meet, "token").select("short", "hub")
     roots = connected_components(scratch, candidates, "short", "hub").select(F.col("node").alias("short"), "root")
     comps = scratch.table(roots.join(classes, "short").drop("short"), "candidates")
-    tiles = _tiles(scratch, comps, percent).join(comps.select("key", "one"), "key")
-    wanted = scratch.table(tiles.select("key", "root", "side", "tiles", "one.print", "one.id"), "tiles")
-    sets = _sets(docs, wanted, **names)
-    links = sets.groupBy("tile").applyInArrow(_linked(percent), "a binary, b binary")
-    linked = connected_components(scratch, scratch.table(links, "links"), "a", "b")
+    chunks = _chunks(scratch, comps, percent)
+    links = _compare(scratch, docs, _own_tiles(chunks), percent, **names)
+    linked = connected_components(scratch, links, "a", "b")
+    more = _cross_tiles(scratch, chunks, linked)
+    if more is not None:
+        links = links.unionByName(_compare(scratch, docs, more, percent, **names))
+        linked = connected_components(scratch, links, "a", "b")
     linked = scratch.table(linked, "linked")
 
     named = rows.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch
+from weftgraph.llm.common import Scratch, trimmed
 
 END = 2
 CAPACITY = 1024
@@ -48,11 +48,7 @@ class ByteBpe:
     """
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.tokenizer = path, None
         self.ranked = self._ranked(json.loads(Path(path).read_text()))
 
     @staticmethod
@@ -75,6 +71,12 @@ class ByteBpe:
         return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def direct(self, texts: list[str]) -> list[bytes]:
+        if self.tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
@@ -154,7 +156,7 @@ def pieces(
                 labels = ["id", "piece", "start", "length", "ids_crc32", "ids", "task", "rank"]
                 yield pa.RecordBatch.from_arrays(arrays, labels)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -241,7 +243,7 @@ def pack(table: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             arrays = [batch.column(c) for c in kept] + [pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, "sequence_id", "offset"])
 
-    return joined.select(*kept, *(c for c in ("rank", "before") if c not in kept)).mapInArrow(run, schema)
+    return joined.select(*kept, *(c for c in ("rank", "before") if c not in kept)).mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(

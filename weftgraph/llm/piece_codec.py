@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import prepare, trimmed
 from weftgraph.llm.packing import slices
 
 SPACE = "▁"
@@ -222,6 +223,7 @@ def encode(
 
     ``ids`` and ``decoded`` are real outputs; digests let a caller leave them in the worker.
     """
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"id {kind}, n_tokens long, ids binary, ids_sha256 string, decoded string, decoded_sha256 string, agrees boolean"
@@ -247,4 +249,4 @@ def encode(
                 labels = ["id", "n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256", "agrees"]
                 yield pa.RecordBatch.from_arrays([names.slice(at, len(part)), *arrays], labels)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import Scratch, fresh
+from weftgraph.llm.common import Scratch, fresh, trimmed
 from weftgraph.llm.packing import slices
 from weftgraph.llm.words import BASE, hash_words, mix
 
@@ -202,7 +202,7 @@ def _seeds(texts: DataFrame) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["pattern", "kind", "instance", "n"])
 
-    return texts.mapInArrow(run, "pattern long, kind string, instance long, n long")
+    return texts.mapInArrow(trimmed(run), "pattern long, kind string, instance long, n long")
 
 
 def _bitmap(patterns: DataFrame) -> np.ndarray:
@@ -236,7 +236,7 @@ def _graph(texts: DataFrame, bitmap) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, ["pattern", "instance", "kinds", "n"])
 
-    return texts.mapInArrow(run, "pattern long, instance long, kinds array<string>, n long")
+    return texts.mapInArrow(trimmed(run), "pattern long, instance long, kinds array<string>, n long")
 
 
 def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
@@ -297,42 +297,56 @@ def _rows(spans: list[tuple[str, int, int]], source: str) -> list[dict]:
     return [{"kind": k, "start": a, "end": b, "source": source} for k, a, b in spans]
 
 
-def annotate(docs: DataFrame, *, text_col: str = "text", name: str = "spans", support: int = SUPPORT) -> DataFrame:
-    """The documents with a column of spans, by kind and start."""
+def _annotated(docs: DataFrame, text_col: str, support: int, finish, schema) -> DataFrame:
+    """Batches of the documents with their spans, by kind and start, as ``finish(batch, spans)`` makes them.
+
+    The rules, the first dictionary of patterns and ``finish`` run in one pass; further dictionaries have passes between.
+    """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    dictionaries = list(_passes(score_patterns(texts, support=support).where(F.col("confidence") >= CONFIDENCE)))
     at = docs.columns.index(text_col)
-    names = [*docs.columns, name]
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"spans {SPANS}").fields])
-    schema.fields[-1].name = schema.names[-1] = name
     order = {k: i for i, k in enumerate(KINDS)}
+    (name,) = fresh(docs, "held")
+    between = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"{name} {SPANS}").fields])
+    last = max(1, len(dictionaries)) - 1
 
-    def seeds(batches):
-        for batch in batches:
-            found = [_rows(base_spans(t.as_py() or ""), "base") for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_SPAN))], names)
-
-    def more(known):
+    def step(i: int, known):
         def run(batches):
             for batch in batches:
-                found = []
-                for text, spans in zip(batch.column(at), batch.column(len(names) - 1).to_pylist(), strict=True):
-                    taken = [(s["kind"], s["start"], s["end"]) for s in spans]
-                    spans += _rows(discovered(text.as_py() or "", taken, known.value), "pattern")
-                    found.append(sorted(spans, key=lambda s: (order[s["kind"]], s["start"])))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(_SPAN))], names)
+                texts = [t.as_py() or "" for t in batch.column(at)]
+                if i == 0:
+                    held = [_rows(base_spans(t), "base") for t in texts]
+                else:
+                    held = batch.column(batch.num_columns - 1).to_pylist()
+                    batch = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+                if known is not None:
+                    for t, spans in zip(texts, held, strict=True):
+                        taken = [(s["kind"], s["start"], s["end"]) for s in spans]
+                        spans += _rows(discovered(t, taken, known.value), "pattern")
+                        spans.sort(key=lambda s: (order[s["kind"]], s["start"]))
+                if i == last:
+                    yield finish(batch, held)
+                else:
+                    names = [*batch.schema.names, name]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.list_(_SPAN))], names)
 
         return run
 
-    out = docs.mapInArrow(seeds, schema)
-    for known in _passes(score_patterns(texts, support=support).where(F.col("confidence") >= CONFIDENCE)):
-        out = out.mapInArrow(more(known), schema)
+    out = docs
+    for i, known in enumerate(dictionaries or [None]):
+        out = out.mapInArrow(trimmed(step(i, known)), schema if i == last else between)
     return out
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
     """One row per document: id, spans (kind, start, end, source: base or pattern), by kind and start."""
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return annotate(chosen, support=support).select("id", "spans")
+    kind = chosen.schema["id"].dataType.simpleString()
+
+    def finish(batch, spans):
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], ["id", "spans"])
+
+    return _annotated(chosen, "text", support, finish, f"id {kind}, spans {SPANS}")
 
 
 def mask(text: str, spans: list[dict]) -> str:
@@ -347,21 +361,15 @@ def mask(text: str, spans: list[dict]) -> str:
 
 def redact(docs: DataFrame, *, text_col: str = "text", chars_col: str = "n_chars", support: int = SUPPORT) -> DataFrame:
     """The documents with personal data replaced, null texts as they are; ``chars_col``, if there, is counted anew."""
-    (name,) = fresh(docs, "spans")
-    names = docs.columns
-    at = names.index(text_col)
+    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            texts = [
-                t.as_py() if not spans else mask(t.as_py() or "", spans)
-                for t, spans in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
-            ]
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    out = annotate(docs, text_col=text_col, name=name, support=support).mapInArrow(run, docs.schema)
+    def finish(batch, spans):
+        texts = [t.as_py() if not s else mask(t.as_py() or "", s) for t, s in zip(batch.column(at), spans, strict=True)]
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    out = _annotated(docs, text_col, support, finish, docs.schema)
     if chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
         out = out.withColumn(chars_col, F.coalesce(F.char_length(text_col).cast(kind), F.col(chars_col)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch
+from weftgraph.llm.common import Scratch, prepare, trimmed
 
 #: Bound of the labelled rows used in training (a row has under 200 bytes).
 TRAIN_ROWS = 40_000
@@ -193,7 +193,7 @@ def _measured(texts: DataFrame, extra: str, names: list[str]) -> DataFrame:
             lists = pa.FixedSizeListArray.from_arrays(flat, len(MEASURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*names, "x"])
 
-    return texts.mapInArrow(run, f"{extra}, x array<double>")
+    return texts.mapInArrow(trimmed(run), f"{extra}, x array<double>")
 
 
 def train(
@@ -226,6 +226,7 @@ def train(
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, score."""
+    prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -235,11 +236,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(model.scores(x))], ["id", "score"])
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
-    return texts.mapInArrow(run, f"id {kind}, score double")
+    return texts.mapInArrow(trimmed(run), f"id {kind}, score double")
 
 
 def keep(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents with a score of at least ``least``, with all their columns."""
+    prepare(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
 
@@ -249,4 +251,4 @@ def keep(docs: DataFrame, model: Model, *, text_col: str = "text", least: float
                 x = np.array([measure(t.as_py()) for t in batch.column(at)])
                 yield batch.filter(pa.array(model.scores(x) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

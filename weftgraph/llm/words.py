@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Bytes that are worked on at once; a longer text is cut at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 # An odd base with its inverse modulo 2**64, and the multipliers of the final mix.
 BASE = 0x9E3779B97F4A7C15
