@@ -77,6 +77,14 @@ def test_byte_ids_are_the_librarys():
     assert bpe.encode(values) == expected == bpe.direct(values)
 
 
+@pytest.mark.parametrize("text", [" " * 1_010_000 + "x", "\n" * 1_200_000 + "x", "x" + " " * 1_100_000, "\xa0" * 1_100_000 + "x"])
+def test_very_long_white_space_is_encoded(text):
+    bpe, library = packing.ByteBpe(BYTES), Tokenizer.from_file(BYTES)
+    assert bpe.ranked is not None
+    expected = array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+    assert bpe.encode(["a", text, "b"]) == [*bpe.direct(["a"]), expected, *bpe.direct(["b"])]
+
+
 def test_other_files_run_by_the_library():
     assert packing.ByteBpe(public_tokenizers.path("word_bpe_49k.json")).ranked is None
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -31,6 +32,9 @@ END = 2
 CAPACITY = 1024
 #: Fixed value: how byte-level vocabularies of this kind split texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: tiktoken's search keeps a state for each white-space character of a run and fails at a million of them.
+RUN = 100_000
+LONG_RUN = re.compile(rf"(?<!\s)\s{{{RUN}}}")
 
 
 def _byte_of() -> dict[str, int]:
@@ -44,7 +48,8 @@ class ByteBpe:
     """Ids of a tokenizers file as little-endian unsigned 32-bit integers; special tokens in a text are ordinary text.
 
     Where the file's merges are in the order of their ids, and it splits as usual, merging by rank gives the same ids: its
-    vocabulary is then run by tiktoken, which takes a quarter of the time. Any other file is run by tokenizers.
+    vocabulary is then run by tiktoken, which takes a quarter of the time. Any other file is run by tokenizers, and so are
+    texts with a very long run of white space, at which tiktoken fails.
     """
 
     def __init__(self, path: str):
@@ -84,7 +89,8 @@ class ByteBpe:
         if self.ranked is None:
             return self.direct(texts)
         ids = self.ranked.encode_ordinary
-        return [np.array(ids(t), "<u4").tobytes() for t in texts]
+        long = [len(t) >= RUN and LONG_RUN.search(t) is not None for t in texts]
+        return [self.direct([t])[0] if x else np.array(ids(t), "<u4").tobytes() for t, x in zip(texts, long, strict=True)]
 
 
 _TOKENIZERS: dict[str, ByteBpe] = {}
