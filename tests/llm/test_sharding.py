@@ -73,3 +73,15 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and set(back.columns) == {*docs.columns, "shard"}
     assert {"b" + r["shard"] for r in shards.collect()} >= {r["shard"] for r in back.select("shard").distinct().collect()}
+
+
+def test_written_shards_of_a_hot_key_keep_their_sizes(spark, tmp_path):
+    key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
+    docs = spark.range(200).select(key.alias("doc_id"), F.lit("y" * 10).alias("text"), F.col("id").alias("row"))
+    shards = sharding.write_shards(docs, str(tmp_path / "out"), limit=100)
+    promised = {("b" + r["shard"], r["shard_bytes"], r["shard_rows"]) for r in shards.collect()}
+    back = spark.read.parquet(str(tmp_path / "out"))
+    written = back.groupBy("shard").agg(F.sum(F.octet_length("text")), F.count(F.lit(1)))
+    assert {tuple(r) for r in written.collect()} == promised
+    assert max(size for _, size, _ in promised) <= 100
+    assert sorted(tuple(r) for r in back.select("doc_id", "text", "row").collect()) == sorted(tuple(r) for r in docs.collect())

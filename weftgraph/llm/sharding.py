@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Scratch
+from weftgraph.llm.common import Scratch, fresh
 
 LIMIT = 64 << 20
 BITS = 60
@@ -97,10 +97,8 @@ def _find(rows: DataFrame, leaves: DataFrame) -> DataFrame:
                       ["parent", "depth", "prefix"])
 
 
-def assign(
-    docs: DataFrame, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: id, shard (bits of the prefix), depth, shard_bytes, shard_rows."""
+def _assigned(docs: DataFrame, row: Column, *, limit: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: id, row (its number), shard, depth, shard_bytes, shard_rows."""
     scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.table(
         docs.select(
@@ -108,18 +106,18 @@ def assign(
             F.lit("").alias("parent"),
             hash_bits(F.col(id_col)).alias("bits"),
             F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("size"),
-            F.monotonically_increasing_id().alias("row"),
+            row.alias("row"),
         ),
         "rows",
     )
     leaves, _ = directory(scratch, rows, limit)
     found = _find(rows, leaves).withColumn("shard", _label(F.col("prefix"), F.col("depth")))
-    out = ["id", "shard", "depth", "shard_bytes", "shard_rows"]
+    out = ["id", "row", "shard", "depth", "shard_bytes", "shard_rows"]
     if leaves.where("chain").isEmpty():
         return found.select(*out)
     chained = scratch.table(
         found.where("chain").select(
-            "id", F.concat("shard", F.lit("+")).alias("parent"), hash_bits(F.col("row")).alias("bits"), "size",
+            "id", "row", F.concat("shard", F.lit("+")).alias("parent"), hash_bits(F.col("row")).alias("bits"), "size",
             F.col("depth").alias("base"),
         ),
         "chained",
@@ -130,12 +128,23 @@ def assign(
     return found.where(~F.col("chain")).select(*out).unionByName(below.select(*out))
 
 
+def assign(
+    docs: DataFrame, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: id, shard (bits of the prefix), depth, shard_bytes, shard_rows."""
+    row = F.monotonically_increasing_id()
+    return _assigned(docs, row, limit=limit, id_col=id_col, text_col=text_col).drop("row")
+
+
 def write_shards(docs: DataFrame, path: str, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"):
     """Writes the rows to one folder ``shard=<bits>`` per shard; returns the assignment."""
     scratch = Scratch(docs.sparkSession, "write")
-    shards = scratch.table(assign(docs, limit=limit, id_col=id_col, text_col=text_col), "assigned")
-    # repeated identifiers of a chain may lie in several shards; each of their rows goes to the first of them
-    one = shards.groupBy("id").agg(F.min("shard").alias("shard"))
-    joined = docs.join(one, docs[id_col].eqNullSafe(one["id"])).drop(one["id"])
-    joined.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(path)
-    return shards
+    # rows are numbered once and written, as another run of the same plan may number them otherwise
+    row, own = fresh(docs, "row", "own")
+    numbered = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    assigned = scratch.table(_assigned(numbered, F.col(row), limit=limit, id_col=id_col, text_col=text_col), "assigned")
+    places = assigned.select(F.col("row").alias(own), F.concat(F.lit("b"), "shard").alias("shard"))
+    joined = numbered.drop("shard").join(places, F.col(row) == F.col(own)).drop(row, own)
+    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    scratch.drop("numbered")
+    return assigned.drop("row")
