@@ -55,6 +55,17 @@ def test_a_disagreement_takes_the_librarys_ids():
     assert model.encode(["hello", "you"])[0] == (array("I", model.library.encode("hello")).tobytes(), False)
 
 
+def test_whole_texts_and_decodes_are_checked():
+    model, library = piece_codec.PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    framed = library.encode(["hello", "you"], add_bos=True, add_eos=True)
+    model.encode(["hello you"])
+    model.words["▁hello"] = array("I", [5]).tobytes()  # a word that was checked before
+    assert model.coded(["hello", "you"]) == [(array("I", framed[0]).tobytes(), "hello", False), (array("I", framed[1]).tobytes(), "you", True)]
+    model = piece_codec.PieceModel(PIECES)
+    model.surface[framed[1][1]] = b" me"
+    assert [row[1:] for row in model.coded(["hello", "you"])] == [("hello", True), ("you", False)]
+
+
 def test_encoded_documents(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     found = Counter((r["id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], bytes(r["ids"]), r["decoded"], r["agrees"])

@@ -3,9 +3,9 @@
 A text becomes one string with U+2581 for spaces and one in front. Symbols are its characters; an agenda holds the
 adjacent pairs that form a piece, best score first, then leftmost; the best pair merges until none is left. What is no
 piece at the end becomes byte pieces. No piece holds U+2581 after another character (checked at load), so merges never
-cross from a word into the next one: words are merged one by one and their ids kept. In each Arrow batch the words that
-were merged in it are checked against the sentencepiece library; where the two differ, the library's ids are returned for
-the texts of the batch that hold the word and ``agrees`` is false.
+cross from a word into the next one: words are merged one by one and their ids kept. In each Arrow batch every whole text is
+encoded, and its ids decoded, by the sentencepiece library too; where the two differ, the library's ids and text are
+returned and ``agrees`` is false. It is false too for texts with a word that the two merge differently by itself.
 
 Defined results: null text counts as empty; an empty text is the begin and end ids alone; null or repeated identifiers
 give a row each; an empty table gives none; extra columns are ignored.
@@ -188,13 +188,22 @@ class PieceModel:
             known.update(zip(new, merged, strict=True))
         get, odd = known.__getitem__, self.odd
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if odd and not odd.isdisjoint(words):
-                out.append((array("I", self.library.encode(text)).tobytes(), False))
-            else:
-                out.append((b"".join(map(get, words)), True))
+        for words, theirs in zip(split, self.library.encode(texts, num_threads=1), strict=True):
+            ids = array("I", theirs).tobytes()
+            out.append((ids, b"".join(map(get, words)) == ids and odd.isdisjoint(words)))
         return out
 
+    def coded(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
+        """Ids with begin and end, their text, and whether the library agrees to both."""
+        begin, end = (array("I", [i]).tobytes() for i in (self.begin, self.end))
+        found = [(begin + ids + end, agrees) for ids, agrees in self.encode(texts)]
+        every = [array("I", packed) for packed, _ in found]
+        decoded = self.library.decode([ids.tolist() for ids in every], num_threads=1)
+        return [
+            (packed, text, agrees and self.decode(ids) == text)
+            for (packed, agrees), ids, text in zip(found, every, decoded, strict=True)
+        ]
+
     def decode(self, ids) -> str:
         """The text of ids; control ids have none, the space in front is dropped."""
         whole = b"".join(map(self.surface.__getitem__, ids))
@@ -231,15 +240,12 @@ def encode(
 
     def run(batches):
         m = model(path)
-        begin, end = (array("I", [i]).tobytes() for i in (m.begin, m.end))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             names = batch.column(0)
             for at, part in slices(texts):
                 rows = []
-                for ids, agrees in m.encode(part):
-                    packed = begin + ids + end
-                    decoded = m.decode(array("I", packed))
+                for packed, decoded, agrees in m.coded(part):
                     rows.append((
                         len(packed) // 4, packed if with_ids else None, hashlib.sha256(packed).hexdigest(),
                         decoded if with_ids else None, hashlib.sha256(decoded.encode()).hexdigest(), agrees,
