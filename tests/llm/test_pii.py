@@ -94,3 +94,14 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_masks_of_overlapping_spans():
     spans = [{"kind": "card", "start": 2, "end": 8}, {"kind": "phone", "start": 0, "end": 5}]
     assert pii.mask("0123456789", spans) == "[PHONE]89"
+
+
+def test_neighbours_are_whole_words():
+    long, gap = "x" * 5000, " " * 9000
+    short = pii.around("call me 555-0101 now", 8, 16)
+    text = f"{gap}call{gap}me 555-0101{gap}now"
+    at = text.index("555")
+    assert len(short) == 2 and short == pii.around(text, at, at + 8)
+    text = f"{long}1 {long}2 555-0101 {long}3"
+    at = text.index("555")
+    assert pii.around(text, at, at + 8) == [pii._pattern(long + "1", long + "2", 1), pii._pattern(long + "2", long + "3", 2)]

@@ -38,7 +38,7 @@ BITMAP, PATTERNS_PER_PASS = 1 << 26, 1_000_000
 #: Words are the same as those that hash_words sees.
 WHITE = tuple(" \t\n\x0b\x0c\r")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
-#: Characters beside an entity in which its neighbouring words are looked for.
+#: Characters beside an entity in which its neighbouring words are looked for first.
 REACH = 4096
 
 #: Fixed patterns. Possessive runs and the look-behind only spare attempts that can't match.
@@ -139,14 +139,29 @@ def _pattern(a: str, b: str, salt: int) -> int:
     return int(_mix(h[:1], h[1:], salt).astype(np.int64)[0])
 
 
+def _left(text: str, start: int) -> list[str]:
+    """The last two words before a place, whole; what is looked at doubles until it holds them."""
+    reach = REACH
+    while True:
+        at = max(0, start - reach)
+        words = WORD.findall(text[at:start])
+        # a word in front of the two, or white space, shows that the first of them is whole
+        if not at or len(words) > 2 or len(words) == 2 and text[at] in WHITE:
+            return words[-2:]
+        reach *= 2
+
+
+def _right(text: str, end: int) -> list[str]:
+    """The word after the white space at a place, whole."""
+    found = WORD.search(text, end) if text[end : end + 1] in WHITE else None
+    return [found[0]] if found else []
+
+
 def around(text: str, start: int, end: int) -> list[int]:
     """The patterns around a span that stands free: (two words on the left), (left, right)."""
-    before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
-    if before[-1:] not in WHITE:
+    if text[start - 1 : start] not in WHITE:
         return []
-    left = WORD.findall(before)[-2:]
-    right = WORD.findall(after)[:1] if after[:1] in WHITE else []
-    found = []
+    left, right, found = _left(text, start), _right(text, end), []
     if len(left) == 2:
         found.append(_pattern(*left, 1))
     if left and right:
