@@ -105,3 +105,17 @@ def test_neighbours_are_whole_words():
     text = f"{long}1 {long}2 555-0101 {long}3"
     at = text.index("555")
     assert pii.around(text, at, at + 8) == [pii._pattern(long + "1", long + "2", 1), pii._pattern(long + "2", long + "3", 2)]
+
+
+def test_discovered_strings_induce_patterns(spark):
+    seeds = [f"word{i} please call +1 (212) 555-{i:04d} soon{i}" for i in range(60)]
+    local = [f"item{i} please call 456-555-{7000 + i} later{i}" for i in range(8)]
+    other = [f"item{i} office line 456-555-{7000 + i} closed{i}" for i in range(8)]
+    last = [f"item{i} office line 789-555-{8000 + i} closed{i}x" for i in range(2)]
+    plain = ["a plain text", None]
+    texts = [*seeds, *local, *other, *last, *plain]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spans = {r["id"]: [(s["kind"], s["source"], texts[r["id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.find(docs).collect()}
+    for i in range(2):
+        assert spans[76 + i] == [("phone", "pattern", f"789-555-{8000 + i}")]
+    assert spans[78] == spans[79] == [] and all(len(spans[i]) == 1 for i in range(78))

@@ -4,7 +4,8 @@ Fixed rules find the seeds: e-mail addresses, IP addresses, payment cards and in
 around seeds induce lexical patterns: the two words on the left, or the word on the left with the word on the right.
 Patterns and instances form a graph. Spark scores it in turns: a pattern by the scores of the instances that it surrounds,
 over all of its occurrences in the corpus, seeds or not; an unseen instance by the patterns around it. Patterns of high
-confidence and support then discover identifier-like strings that no rule matches. All seeds stay.
+confidence and support then discover identifier-like strings that no rule matches; with these as further seeds, patterns
+are induced and scored again, until no pattern is new. All seeds stay.
 
 A pattern must surround several distinct seeds of one kind and hardly anything else, so ordinary words never become a
 pattern. Which patterns occur is tested against a bitmap of fixed size before any of their occurrences are counted; what
@@ -254,14 +255,30 @@ def _graph(texts: DataFrame, bitmap) -> DataFrame:
     return texts.mapInArrow(trimmed(run), "pattern long, instance long, kinds array<string>, n long")
 
 
-def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
-    """(pattern, kind, confidence) of all patterns with the support. Texts: one column, no nulls."""
-    spark = texts.sparkSession
-    scratch = Scratch(spark, "pii")
-    counted = _seeds(texts).groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n"))
-    strong = counted.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"), F.sum("n").alias("hits"))
-    strong = scratch.table(strong.where(F.col("seeds") >= support), "strong")
-    bitmap = spark.sparkContext.broadcast(_bitmap(strong.select("pattern").distinct()))
+def _again(texts: DataFrame, bitmap) -> DataFrame:
+    """(pattern, kind, instance, n): the patterns around unseen strings in the bitmap, for each kind that they have the form of."""
+
+    def run(batches):
+        for batch in batches:
+            seen: Counter = Counter()
+            for text in batch.column(0):
+                t = text.as_py() or ""
+                for a, b in candidates(t, base_spans(t)):
+                    value = t[a:b]
+                    if _marked(instance := _instance(value), bitmap.value):
+                        kinds = [k for k in KINDS if _like(k, value)]
+                        seen.update((p, k, instance) for p in around(t, a, b) for k in kinds)
+            columns = list(zip(*((*key, n) for key, n in seen.items()), strict=True)) or [()] * 4
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["pattern", "kind", "instance", "n"])
+
+    return texts.mapInArrow(trimmed(run), "pattern long, kind string, instance long, n long")
+
+
+def _scored(scratch: Scratch, texts: DataFrame, strong: DataFrame, known: DataFrame | None):
+    """(pattern, kind, confidence) of the strong patterns; the unseen strings around them; their weights, from known ones on."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(strong.select("pattern").distinct()))
     graph = _graph(texts, bitmap).groupBy("pattern", "instance", "kinds").agg(F.sum("n").alias("n"))
     graph = scratch.table(graph.join(strong.select("pattern").distinct(), "pattern", "left_semi"), "graph")
     total = graph.where("instance IS NULL").select("pattern", F.col("n").alias("occurrences"))
@@ -269,6 +286,8 @@ def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
     unseen = graph.where("instance IS NOT NULL").join(strong.select("pattern", "kind"), "pattern")
     edges = scratch.table(unseen.where("array_contains(kinds, kind)").select("pattern", "kind", "instance", "n"), "unseen")
     weights = edges.select("kind", "instance", F.lit(0.0).alias("weight")).distinct()
+    if known is not None:
+        weights = weights.drop("weight").join(known, ["kind", "instance"], "left").na.fill(0.0)
     scored = strong
     for _ in range(ROUNDS):
         more = edges.join(weights, ["kind", "instance"]).groupBy("pattern", "kind").agg(
@@ -282,14 +301,51 @@ def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
         err = F.sum(F.log(1 - F.least("confidence", F.lit(0.999))))
         around_it = edges.join(scored, ["pattern", "kind"]).groupBy("kind", "instance")
         weights = scratch.table(around_it.agg((1 - F.exp(err)).alias("weight")), "weights")
-    return scored
+    return scored, edges, weights
+
+
+def _surest(patterns: DataFrame) -> DataFrame:
+    """One kind a pattern, the surest."""
+    best = patterns.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    return best.select("pattern", F.col("best.kind").alias("kind"))
+
+
+def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
+    """(pattern, kind, confidence) of all patterns with the support. Texts: one column, no nulls.
+
+    Patterns are induced again, from the seeds with what the sure patterns discover, until none is new.
+    """
+    spark = texts.sparkSession
+    scratch = Scratch(spark, "pii")
+    counted = scratch.table(_seeds(texts).groupBy("pattern", "kind", "instance").agg(F.sum("n").alias("n")), "counted")
+
+    def induced(every: DataFrame) -> DataFrame:
+        patterns = every.groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"), F.sum("n").alias("hits"))
+        return scratch.table(patterns.where(F.col("seeds") >= support), "strong")
+
+    strong, found, weights = induced(counted), None, None
+    while True:
+        scored, edges, weights = _scored(scratch, texts, strong, weights)
+        sure = _surest(scored.where(F.col("confidence") >= CONFIDENCE))
+        now = edges.join(sure, ["pattern", "kind"]).select("kind", "instance")
+        # what has been discovered once stays
+        found, before = scratch.table((now if found is None else now.unionByName(found)).distinct(), "found"), found
+        if found.count() == (0 if before is None else before.count()):
+            return scored
+        bitmap = spark.sparkContext.broadcast(_bitmap(found.select(F.col("instance").alias("pattern")).distinct()))
+        # they induce as seeds do; their hits are counted with their weights, as those of all unseen strings
+        again = _again(texts, bitmap).join(found, ["kind", "instance"], "left_semi")
+        again = again.groupBy("pattern", "kind", "instance").agg(F.lit(0).cast("long").alias("n"))
+        more = induced(counted.unionByName(again))
+        if more.count() == strong.count():
+            return scored
+        strong = more
 
 
 def _passes(patterns: DataFrame):
     """The patterns in dictionaries of at most PATTERNS_PER_PASS, each broadcast; one kind a pattern, the surest."""
-    best = patterns.groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     some: dict[int, str] = {}
-    for pattern, kind in best.select("pattern", "best.kind").toLocalIterator():
+    for pattern, kind in _surest(patterns).toLocalIterator():
         some[pattern] = kind
         if len(some) == PATTERNS_PER_PASS:
             yield patterns.sparkSession.sparkContext.broadcast(some)
