@@ -114,3 +114,17 @@ def test_signatures_never_rule_out_a_link():
             linked = 100 * both >= 80 * (len(a) + len(b) - both)
             labels = ngram_join.settle([a, b], ["", ""], 80)
             assert (labels[0] == labels[1]) == linked
+
+
+def test_shingles_that_fall_together_at_the_threshold(spark):
+    buckets = ngram_join.shuffle_partitions(spark)
+    words = [f"w{i}" for i in range(300_000 * buckets)]
+    h = np.concatenate(ngram_join.shingle_sets(words, 1))
+    token = (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+    order = np.argsort(token)
+    same = np.flatnonzero(token[order][1:] == token[order][:-1])[0]
+    pair = [words[order[same]], words[order[same + 1]]]
+    few = [*pair, *"abcdef"]
+    docs = spark.createDataFrame([(1, " ".join(few)), (2, " ".join([*few, "g", "h"])), (3, "g2 h2")], "doc_id long, text string")
+    found = {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs, width=1).collect()}
+    assert found == {1: (8, 1), 2: (10, 1), 3: (2, 3)}

@@ -81,27 +81,35 @@ def short_key(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def _merged(hashes: np.ndarray) -> int:
+    low = np.sort(hashes.astype("<u4"))
+    return int(np.count_nonzero(low[1:] == low[:-1]))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("print"))
 
 
 def members(docs: DataFrame, *, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """One row per document: id, print (hash of the text), key and short key of its class (null if empty), n (set size)."""
+    """One row per document: id, print (hash of the text), key and short key of its class (null if empty), n (set size),
+    merged (by how many fewer its hashes are in their lower 32 bits, at most those that fall together in a bucket)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, merged = [], [], []
             for _, texts in slices(batch.column(1).to_pylist()):
                 for h in shingle_sets(texts, width):
                     sizes.append(len(h))
+                    merged.append(_merged(h))
                     keys.append(set_key(h) if len(h) else None)
             shorts = [None if k is None else short_key(k) for k in keys]
-            arrays = [pa.array(keys, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], ["id", "print", "key", "short", "n"])
+            arrays = [pa.array(keys, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(merged, pa.int64())]
+            labels = ["id", "print", "key", "short", "n", "merged"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], labels)
 
-    return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, print long, key binary, short long, n long")
+    return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), f"id {kind}, print long, key binary, short long, n long, merged long")
 
 
 def _pack(shorts: np.ndarray, counts: np.ndarray, *values: np.ndarray) -> bytes:
@@ -208,12 +216,7 @@ def _shared(buckets: int):
     return run
 
 
-def _least(n, percent: int):
-    """The least overlap of a set of n shingles with a set it links with."""
-    return (percent * n + 99) // 100
-
-
-def _lookups(percent: int):
+def _lookups():
     """Of a part's classes: (token, short) of the shared shingles within each class's prefix."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
@@ -222,13 +225,13 @@ def _lookups(percent: int):
         buckets = table.column("bucket").to_numpy()
         held = [_unpack(table.column("payload").slice(i, 1), "<u4", "<u2") for i in range(len(buckets))]
         names, own = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        sizes = known.column("n").to_numpy()[np.searchsorted(known.column("short").to_numpy(), names)]
+        least = known.column("least").to_numpy()[np.searchsorted(known.column("short").to_numpy(), names)]
         starts = np.cumsum([0, *(len(h[0]) for h in held)])
         cls = np.concatenate([own[a + of] for a, (_, of, _, _) in zip(starts, held, strict=False)])
         token = np.concatenate([np.int64(b) << 32 | low.astype(np.int64) for b, (_, _, low, _) in zip(buckets.tolist(), held, strict=True)])
         count = np.concatenate([h[3] for h in held])
         shared = np.bincount(cls, minlength=len(names))
-        wanted = shared - _least(sizes, percent) + 1  # what the prefix has besides shingles of this class alone
+        wanted = shared - least + 1  # what the prefix has besides shingles of this class alone
         near = wanted[cls] > 0
         cls, token, count = cls[near], token[near], count[near]
         order = np.lexsort((token, count, cls))
@@ -431,9 +434,11 @@ def link(
     buckets = shuffle_partitions(spark)
     dealt = _dealt(docs, **names, buckets=buckets)
     shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), "part int, bucket int, payload binary")
-    # of classes with one short key the smallest decides, which looks up most
-    sizes = rows.where("n > 0").groupBy("short").agg(F.min("n").alias("n")).withColumn("part", F.expr(f"cast(pmod(short, {buckets}) as int)"))
-    lookups = shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_lookups(percent), "token long, short long")
+    # shingles that fall together are shared as one, so that the overlap may be less by as many; of classes with one short
+    # key the one with the least overlap decides, which looks up most
+    least = F.min(F.expr(f"({percent} * n + 99) div 100 - merged")).alias("least")
+    sizes = rows.where("n > 0").groupBy("short").agg(least).withColumn("part", F.expr(f"cast(pmod(short, {buckets}) as int)"))
+    lookups = shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_lookups(), "token long, short long")
     lookups = scratch.table(lookups, "lookups")
 
     meet = lookups.groupBy("token").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
