@@ -132,3 +132,16 @@ def test_command_line(spark, engine, tmp_path, capsys):
     assert cli.chat_line(engine, "connect GPT-4 to Microsoft").startswith("GPT-4 --") and cli.chat_line(engine, "quit") is None
     assert cli.chat_line(engine, "connect a to b to c") == "connect A to B" and "nodes" in cli.chat_line(engine, "stats")
     assert cli.main([str(tmp_path / "s"), "stats"], spark) == 0 and '"nodes": 0' in capsys.readouterr().out
+
+
+def test_the_hybrid_query_asks_the_whole_text(spark, monkeypatch):
+    from tests.conftest import SF
+    from weftgraph.plans import catalog
+
+    asked = []
+    whole = catalog.table(spark, SF, "benchmark").where("item_id = 0").first()["text"]
+    monkeypatch.setattr(catalog.Hybrid, "answer", lambda self, question: asked.append(question) or {
+        "status": "", "method": "", "confidence": 0.0, "doc_chunks_used": 0, "entities_found": [],
+    })
+    catalog.hybrid_query(spark, SF)
+    assert asked == [whole] and len(whole) > 200

@@ -733,6 +733,6 @@ def hybrid_query(spark, sf_dir):
         star_graph.relationships(spark, sf_dir).where("type = 'MENTIONS'"),
     )
     asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
-    out = Hybrid(g, embedder, settings=Settings(entity_threshold=0.5, document_threshold=0.5)).answer(asked[:200])
+    out = Hybrid(g, embedder, settings=Settings(entity_threshold=0.5, document_threshold=0.5)).answer(asked)
     row = (out["status"], out["method"], out["confidence"], out["doc_chunks_used"], [e["id"] for e in out["entities_found"]])
     return spark.createDataFrame([row], "status string, method string, confidence double, doc_chunks_used int, entities array<string>")
