@@ -73,10 +73,13 @@ def test_packing_stage(stages):
     before, after, _ = stages["packing"]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     sizes = {d["doc_id"]: len(library.encode(d["text"], add_special_tokens=False).ids) + 1 for d in before}
-    packed = {}
-    for r in after:
+    packed, whole = {}, {}
+    for r in sorted(after, key=lambda r: r["piece"]):
         packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
+        whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["ids"])
     assert packed == sizes
+    for d in before:
+        assert whole[d["doc_id"]] == np.array([*library.encode(d["text"], add_special_tokens=False).ids, 2], "<u4").tobytes()
     assert len({r["sequence_id"] for r in after}) <= sum(sizes.values()) / 1024 * 1.02 + 1
 
 

@@ -81,15 +81,22 @@ def test_encoded_documents(spark):
 
 def test_byte_ids_are_the_librarys():
     bpe, library = packing.ByteBpe(BYTES), Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     assert bpe.ranked is not None
-    values = texts()
+    values = [*texts(), "hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>", "<|endoftext |>"]
     expected = [array("I", e.ids).tobytes() for e in library.encode_batch(values, add_special_tokens=False)]
     assert bpe.encode(values) == expected == bpe.direct(values)
 
 
-@pytest.mark.parametrize("text", [" " * 1_010_000 + "x", "\n" * 1_200_000 + "x", "x" + " " * 1_100_000, "\xa0" * 1_100_000 + "x"])
-def test_very_long_white_space_is_encoded(text):
+def test_added_tokens_are_themselves():
+    bpe = packing.ByteBpe(BYTES)
+    assert array("I", bpe.encode(["a<|endoftext|>"])[0]).tolist()[-1] == 50256 == array("I", bpe.direct(["<|endoftext|>"])[0])[0]
+
+
+@pytest.mark.parametrize("text", [
+    " " * 1_010_000 + "x", "\n" * 1_200_000 + "x", "x" + " " * 1_100_000, "\xa0" * 1_100_000 + "x", " " * 2_000_000, "\n" * 2_000_000,
+    "a" * 2_000_000,
+])
+def test_very_long_runs_are_encoded(text):
     bpe, library = packing.ByteBpe(BYTES), Tokenizer.from_file(BYTES)
     assert bpe.ranked is not None
     expected = array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
