@@ -37,10 +37,11 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 1024 tokens."""
-    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """The pieces of all documents with their token ids (little-endian unsigned 32-bit integers), packed into sequences of
+    at most 1024 tokens: a sequence is its pieces' ids in the order of their offsets."""
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
     return pieces.select(
-        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"
     )
 
 
