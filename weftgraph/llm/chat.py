@@ -4,10 +4,11 @@ A record is JSON in any of several layouts. Its fingerprint is a hash of its nes
 names them; the fingerprint selects a declarative mapping, which yields canonical turns (role, text). The template marks
 each turn and escapes control strings inside roles and texts so that the turns can be read back from the output.
 
-Defined results: null text and null roles count as empty; a record that is null, no JSON or of no known layout has layout
-null, no turns and an empty output; turns with equal numbers are ordered by role, then text, null before all; a null
-conversation identifier is a conversation of its own; repeated rows are repeated turns; other fields of a record and other
-columns change nothing; an empty table gives no rows. A conversation is one output string, so its turns meet in one row.
+Defined results: null text and null roles count as empty; a record that is null, no JSON, nested too deeply to be read or
+of no known layout has layout null, no turns and an empty output; lone surrogates become U+FFFD; turns with equal numbers are
+ordered by role, then text, null before all; a null conversation identifier is a conversation of its own; repeated rows are
+repeated turns; other fields of a record and other columns change nothing; an empty table gives no rows. A conversation is one
+output string, so its turns meet in one row: one conversation may have at most what a row of Spark holds, 2 GB.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import prepare, trimmed
@@ -25,12 +26,19 @@ from weftgraph.llm.common import prepare, trimmed
 #: Roles of other layouts under their canonical names.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 
-#: Layouts: ``each`` names a list with a role and a text field (both optional ones map to empty); ``fields`` name single
-#: turns in order, of which empty ones named in ``optional`` are left out; ``join`` puts a field after another one's text.
+#: Layouts: ``each`` names a list with a role and a text field (both optional ones map to empty); its text may be a list of
+#: parts, of which ``part`` names the text, or stand in the field ``otherwise`` where its own is empty. ``fields`` name single
+#: turns in order; ``join`` puts a field after another one's text. ``first`` is a field whose text, if any, precedes all.
 LAYOUTS = {
     "messages": {"each": "messages", "role": "role", "text": "content"},
     "message_texts": {"each": "messages", "role": "role", "text": "text"},
+    "message_either": {"each": "messages", "role": "role", "text": "content", "otherwise": "text"},
+    "message_parts": {"each": "messages", "role": "role", "part": "content[].text"},
+    "message_mixed": {"each": "messages", "role": "role", "text": "content", "part": "content[].text"},
+    "system_messages": {"each": "messages", "role": "role", "text": "content", "first": ("system", "system")},
+    "conversation_messages": {"each": "conversations", "role": "role", "text": "content"},
     "from_value": {"each": "conversations", "role": "from", "text": "value"},
+    "system_from_value": {"each": "conversations", "role": "from", "text": "value", "first": ("system", "system")},
     "turns": {"each": "turns", "role": "speaker", "text": "utterance"},
     "prompt_completion": {"fields": [("user", "prompt"), ("assistant", "completion")]},
     "prompt_response": {"fields": [("user", "prompt"), ("assistant", "response")]},
@@ -38,17 +46,22 @@ LAYOUTS = {
     "question_answer": {"fields": [("user", "question"), ("assistant", "answer")]},
     "instruction": {"fields": [("user", "instruction"), ("assistant", "output")]},
     "instruction_input": {"fields": [("user", "instruction"), ("assistant", "output")], "join": {"instruction": "input"}},
-}
+    "system_instruction_input": {
+        "fields": [("system", "system"), ("user", "instruction"), ("assistant", "output")], "join": {"instruction": "input"},
+    },
+}
 
 
 def mapping_paths(layout: dict) -> set[str]:
+    found = {layout["first"][1]} if "first" in layout else set()
     if "each" in layout:
-        return {f"{layout['each']}[].{layout['role']}", f"{layout['each']}[].{layout['text']}"}
-    return {f for _, f in layout["fields"]} | set(layout.get("join", {}).values())
+        return found | {f"{layout['each']}[].{layout[k]}" for k in ("role", "text", "part", "otherwise") if k in layout}
+    return found | {f for _, f in layout["fields"]} | set(layout.get("join", {}).values())
 
 
 KNOWN = set().union(*map(mapping_paths, LAYOUTS.values()))
-LISTS = {layout["each"] for layout in LAYOUTS.values() if "each" in layout}
+#: Nothing below so many steps is part of a layout.
+DEPTH = 1 + max(p.count(".") + p.count("[]") for p in KNOWN)
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -58,43 +71,68 @@ def fingerprint(paths: set[str]) -> str:
 MAPPINGS = {fingerprint(mapping_paths(layout)): name for name, layout in LAYOUTS.items()}
 
 
-def field_paths(value, at: str = "") -> set[str]:
-    """Paths of a record's fields, with [] for list items."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+def field_paths(value) -> set[str]:
+    """Paths of a record's fields, with [] for list items, as far down as layouts reach.
+
+    Points and brackets in a key are escaped, so that a key that spells a path isn't that path.
+    """
+    found, left = set(), [(value, "", 0)]
+    while left:
+        value, at, depth = left.pop()
+        if depth > DEPTH or not isinstance(value, dict | list):
+            found.add(at)
+        elif isinstance(value, list):
+            left += [(v, f"{at}[]", depth + 1) for v in value]
+        else:
+            for key, v in value.items():
+                name = re.sub(r"([\\.\[])", r"\\\1", key)
+                left.append((v, f"{at}.{name}" if at else name, depth + 1))
+    return found
 
 
 def _text(value) -> str:
     if value is None:
         return ""
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return re.sub("[\ud800-\udfff]", "\ufffd", text)
+
+
+def _message(item: dict, layout: dict) -> str:
+    """The text of a list's item: of its field, of the parts of its field, or of another one if that is empty."""
+    value = item.get(layout.get("text", layout.get("part", "").partition("[")[0]))
+    if "part" in layout and isinstance(value, list):
+        name = layout["part"].rpartition(".")[2]
+        return "".join(_text(p.get(name) if isinstance(p, dict) else p) for p in value)
+    return _text(value) or _text(item.get(layout.get("otherwise")))
 
 
 def canonical(record: str | None) -> tuple[str | None, str | None, list[tuple[str, str]]]:
     """(layout, fingerprint, turns) of a JSON record."""
     try:
         value = json.loads(record or "")
-    except ValueError:
-        return None, None, []
-    if not isinstance(value, dict):
+        if not isinstance(value, dict):
+            return None, None, []
+        print_ = fingerprint(field_paths(value))
+        name = MAPPINGS.get(print_)
+        if name is None:
+            return None, print_, []
+        return name, print_, _turns(value, LAYOUTS[name])
+    except (ValueError, RecursionError):  # no JSON, or nested more deeply than the reader goes
         return None, None, []
-    print_ = fingerprint(field_paths(value))
-    name = MAPPINGS.get(print_)
-    if name is None:
-        return None, print_, []
-    layout = LAYOUTS[name]
+
+
+def _turns(value: dict, layout: dict) -> list[tuple[str, str]]:
+    turns = []
+    if "first" in layout and (text := _text(value.get(layout["first"][1]))):
+        turns.append((layout["first"][0], text))
     if "each" in layout:
         items = [x for x in value[layout["each"]] if isinstance(x, dict)]
-        turns = [(_text(x.get(layout["role"])), _text(x.get(layout["text"]))) for x in items]
+        turns += [(_text(x.get(layout["role"])), _message(x, layout)) for x in items]
     else:
-        turns = []
         for role, field in layout["fields"]:
             text, more = _text(value.get(field)), _text(value.get(layout.get("join", {}).get(field)))
             turns.append((role, f"{text}\n\n{more}" if more else text))
-    return name, print_, [(ROLES.get(r.lower(), r), t) for r, t in turns]
+    return [(ROLES.get(r.lower(), r), t) for r, t in turns]
 
 
 #: The template: a turn is OPEN, role, line feed, text, CLOSE, line feed.
@@ -180,6 +218,23 @@ def format_records(records: DataFrame, *, id_col: str, record_col: str) -> DataF
     return chosen.mapInArrow(trimmed(run), f"id {kind}, {SCHEMA}")
 
 
+#: Layouts in which ``records_of_turns`` can write a conversation whatever its roles.
+LISTS = ("messages", "message_texts", "message_parts", "conversation_messages", "from_value", "turns")
+
+
+def _written(turns: Column, name: str) -> Column:
+    """Turns (role, content) as a record of a layout with a list."""
+    layout = LAYOUTS[name]
+
+    def item(t: Column) -> Column:
+        if "part" in layout:
+            part = F.struct(F.lit("text").alias("type"), t["content"].alias(layout["part"].rpartition(".")[2]))
+            return F.struct(t["role"].alias(layout["role"]), F.array(part).alias(layout["part"].partition("[")[0]))
+        return F.struct(t["role"].alias(layout["role"]), t["content"].alias(layout["text"]))
+
+    return F.to_json(F.struct(F.transform(turns, item).alias(layout["each"])))
+
+
 def records_of_turns(
     rows: DataFrame,
     *,
@@ -187,14 +242,17 @@ def records_of_turns(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    layouts: tuple[str, ...] = ("messages",),
 ) -> DataFrame:
-    """Records of the layout ``messages`` from a table with a row per turn."""
+    """Records from a table with a row per turn; a hash of the identifier chooses each one's layout among ``layouts``."""
     turn = F.struct(
         F.col(turn_col).alias("n"),
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("content"),
     )
-    turns = F.sort_array(F.collect_list(turn))
-    messages = F.transform(F.col("turns"), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    grouped = rows.groupBy(F.col(id_col).alias("id")).agg(turns.alias("turns"))
-    return grouped.select("id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    grouped = rows.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    chosen = F.pmod(F.xxhash64("id"), F.lit(len(layouts)))
+    record = _written(F.col("turns"), layouts[0])
+    for i, name in enumerate(layouts[1:], 1):
+        record = F.when(chosen == i, _written(F.col("turns"), name)).otherwise(record)
+    return grouped.select("id", record.alias("record"))
