@@ -75,6 +75,21 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     assert {"b" + r["shard"] for r in shards.collect()} >= {r["shard"] for r in back.select("shard").distinct().collect()}
 
 
+def test_a_column_named_shard_is_kept(spark, tmp_path):
+    docs = documents(spark, "shard")
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert set(back.columns) == {*docs.columns, "_shard"}
+    assert sorted(map(str, back.select("doc_id", "shard").collect())) == sorted(map(str, docs.select("doc_id", "shard").collect()))
+
+
+def test_written_shards_of_repeated_identifiers_fit(spark, tmp_path):
+    docs = spark.range(50).select(F.lit(7).alias("doc_id"), F.lit("z" * 100).alias("text"))
+    sharding.write_shards(docs, str(tmp_path / "out"), limit=1000)
+    written = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert sum(r["n"] for r in written) == 5000 and max(r["n"] for r in written) <= 1000
+
+
 def test_written_shards_of_a_hot_key_keep_their_sizes(spark, tmp_path):
     key = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
     docs = spark.range(200).select(key.alias("doc_id"), F.lit("y" * 10).alias("text"), F.col("id").alias("row"))

@@ -26,8 +26,12 @@ def op2_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of a shard in the query: small, so that small tables are split too.
+SHARD = 256 << 10
+
+
 def op3_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = sharding.assign(table(spark, sf_dir, "documents"))
+    shards = sharding.assign(table(spark, sf_dir, "documents"), limit=SHARD)
     return shards.select(F.col("id").alias("doc_id"), "shard", "depth", "shard_bytes", "shard_rows")
 
 
@@ -48,7 +52,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
            FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"""
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    formatted = chat.format_records(chat.records_of_turns(turns), id_col="id", record_col="record")
+    # the table has one layout; its conversations reach the operator in all those that can hold them
+    records = chat.records_of_turns(turns, layouts=chat.LISTS)
+    formatted = chat.format_records(records, id_col="id", record_col="record")
     return formatted.select(
         F.col("id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
@@ -146,7 +152,7 @@ ORACLES = {
         leaves AS (
             SELECT r.doc_id, r.bits, min(b.depth) AS depth
             FROM r JOIN b ON r.bits >> (60 - b.depth) = b.prefix
-            WHERE b.size <= 67108864 OR b.n = 1 GROUP BY ALL)
+            WHERE b.size <= 262144 OR b.n = 1 GROUP BY ALL)
         SELECT l.doc_id, l.depth::INT AS depth, b.size::BIGINT AS shard_bytes, b.n AS shard_rows,
                CASE WHEN l.depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(b.prefix), l.depth::INT) END AS shard
         FROM leaves l JOIN b ON b.depth = l.depth AND b.prefix = l.bits >> (60 - l.depth)

@@ -137,14 +137,18 @@ def assign(
 
 
 def write_shards(docs: DataFrame, path: str, *, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text"):
-    """Writes the rows to one folder ``shard=<bits>`` per shard; returns the assignment."""
+    """Writes the rows to one folder ``shard=b<bits>`` per shard; returns the assignment.
+
+    If the input has a column ``shard``, the folders' column has underscores in front.
+    """
     scratch = Scratch(docs.sparkSession, "write")
     # rows are numbered once and written, as another run of the same plan may number them otherwise
-    row, own = fresh(docs, "row", "own")
+    row, own, place = fresh(docs, "row", "own", "shard")
+    place = place if "shard" in (c.lower() for c in docs.columns) else "shard"
     numbered = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     assigned = scratch.table(_assigned(numbered, F.col(row), limit=limit, id_col=id_col, text_col=text_col), "assigned")
-    places = assigned.select(F.col("row").alias(own), F.concat(F.lit("b"), "shard").alias("shard"))
-    joined = numbered.drop("shard").join(places, F.col(row) == F.col(own)).drop(row, own)
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+    places = assigned.select(F.col("row").alias(own), F.concat(F.lit("b"), "shard").alias(place))
+    joined = numbered.join(places, F.col(row) == F.col(own)).drop(row, own)
+    joined.repartition(place).write.partitionBy(place).parquet(path)
     scratch.drop("numbered")
     return assigned.drop("row")
