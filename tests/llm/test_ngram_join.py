@@ -80,6 +80,19 @@ def test_components_in_dealt_tiles(spark, monkeypatch):
     check(spark, near_copies(3))
 
 
+def test_components_by_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_HASHES", 500)
+    assert len(ngram_join._bucket_keys(spark, 20_000)) == 40
+    check(spark, near_copies(6))
+
+
+def test_bucket_keys_are_dealt_evenly(spark):
+    keys = ngram_join._bucket_keys(spark, 3 * 4 * ngram_join.BUCKET_HASHES)
+    frame = spark.createDataFrame([(k,) for k in keys.tolist()], "key int")
+    counts = frame.groupBy(ngram_join.F.expr("pmod(hash(key), 4)")).count().collect()
+    assert [r["count"] for r in counts] == [3] * 4
+
+
 def test_other_similarities(spark):
     check(spark, near_copies(4, 120), percent=60)
 
@@ -117,7 +130,7 @@ def test_signatures_never_rule_out_a_link():
 
 
 def test_shingles_that_fall_together_at_the_threshold(spark):
-    buckets = ngram_join.shuffle_partitions(spark)
+    buckets = len(ngram_join._bucket_keys(spark, 0))
     words = [f"w{i}" for i in range(300_000 * buckets)]
     h = np.concatenate(ngram_join.shingle_sets(words, 1))
     token = (h >> np.uint64(32)) % np.uint64(buckets) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)

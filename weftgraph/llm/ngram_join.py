@@ -8,7 +8,7 @@ sequence if there are fewer). Documents with one set are one class, named by a 1
 2. In an order by rising counts, the first n - ceil(0.8 n) + 1 shingles of two linked sets have one in common; shingles
    of a single class come first and need no look-up, so a class looks up only what is left of that prefix, its rarest
    shared shingles. A class with less than 80 % of its shingles shared looks up nothing.
-3. Classes that meet on such a shingle form candidate components. A component's classes go to tiles by size band (sizes
+3. Classes of equal or adjacent size bands that meet on such a shingle form candidate components. A component's classes go to tiles by size band (sizes
    of linked sets differ by a quarter at most, so only equal and adjacent bands meet) and, where a band is large, by salt.
    One class of each band stands in all its tiles, so that a large group of near copies is one known part after a pass that
    grows with the group; only classes outside the largest part of their component then visit the other tiles.
@@ -28,7 +28,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Scratch, fresh, release, shuffle_partitions, trimmed
@@ -40,6 +40,8 @@ WIDTH = 5
 PERCENT = 80
 #: Hashes that a task gathers before it deals them to buckets, and that a bucket sorts at once.
 GATHERED = 1_000_000
+#: A bucket has about so many hashes, 16 MB, however large the corpus.
+BUCKET_HASHES = 4_000_000
 #: A tile holds at most about so many sets and hashes; beyond, its component is dealt by size band and salt.
 TILE_SETS, TILE_HASHES = 2048, 4_000_000
 #: Rows are sent to all executors only up to this number (about 100 bytes each); beyond, the join shuffles.
@@ -140,8 +142,23 @@ def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1], edges[1:], strict=True)) if len(sorted_values) else []
 
 
-def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets: int) -> DataFrame:
+def _bucket_keys(spark: SparkSession, hashes: int) -> np.ndarray:
+    """Keys of as many buckets as so many hashes need, which Spark's hash deals evenly to the shuffle's partitions."""
+    partitions = shuffle_partitions(spark)
+    each = max(1, -(-hashes // (BUCKET_HASHES * partitions)))
+    tried = 4 * partitions * each + 100
+    while True:
+        key = F.col("id").cast("int")
+        rows = spark.range(tried).select(key.alias("key"), F.pmod(F.hash(key), F.lit(partitions)).alias("of")).toPandas()
+        first = rows[rows.groupby("of").cumcount() < each]
+        if len(first) == partitions * each:
+            return np.sort(first.key.to_numpy(np.int32))
+        tried *= 2
+
+
+def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, bucket_keys: np.ndarray) -> DataFrame:
     """Hashes of each class dealt to buckets: (bucket, payload); payloads hold the lower 32 bits."""
+    buckets = len(bucket_keys)
 
     def flush(keys: list[int], sets: list[np.ndarray]):
         every = np.concatenate(sets)
@@ -155,7 +172,7 @@ def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets:
         for a, b in _runs(high):
             own, counts = np.unique(of[a:b], return_counts=True)
             payloads.append(_pack(names[own], counts, low[a:b]))
-            rows.append(high[a])
+            rows.append(bucket_keys[high[a]])
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
 
     def run(batches):
@@ -178,8 +195,9 @@ def _dealt(docs: DataFrame, *, id_col: str, text_col: str, width: int, buckets:
     return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), "bucket int, payload binary")
 
 
-def _shared(buckets: int):
+def _shared(bucket_keys: np.ndarray):
     """Of a bucket: the hashes that several classes have, with the number of classes, dealt to parts by class."""
+    buckets = len(bucket_keys)
 
     def run(table: pa.Table) -> pa.Table:
         names, of, low = _unpack(table.column("payload"), "<u4")
@@ -204,7 +222,7 @@ def _shared(buckets: int):
         for a, b in _runs(part[cls]):
             own, n = np.unique(cls[a:b], return_counts=True)
             payloads.append(_pack(names[own], n, value[a:b], count[a:b]))
-            rows.append(part[cls[a]])
+            rows.append(bucket_keys[part[cls[a]]])
         bucket = table.column("bucket")[0].as_py()
         release()
         return pa.table({
@@ -217,15 +235,18 @@ def _shared(buckets: int):
 
 
 def _lookups():
-    """Of a part's classes: (token, short) of the shared shingles within each class's prefix."""
+    """Of a part's classes: (token, short, low, high) of the shared shingles within each class's prefix; the size bands of
+    the classes with one short key go from low to high."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"token": pa.array([], pa.int64()), "short": pa.array([], pa.int64())})
+            empty = {"token": pa.int64(), "short": pa.int64(), "low": pa.int32(), "high": pa.int32()}
+            return pa.table({c: pa.array([], t) for c, t in empty.items()})
         buckets = table.column("bucket").to_numpy()
         held = [_unpack(table.column("payload").slice(i, 1), "<u4", "<u2") for i in range(len(buckets))]
         names, own = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        least = known.column("least").to_numpy()[np.searchsorted(known.column("short").to_numpy(), names)]
+        at = np.searchsorted(known.column("short").to_numpy(), names)
+        least, low_band, high_band = (known.column(c).to_numpy()[at] for c in ("least", "low", "high"))
         starts = np.cumsum([0, *(len(h[0]) for h in held)])
         cls = np.concatenate([own[a + of] for a, (_, of, _, _) in zip(starts, held, strict=False)])
         token = np.concatenate([np.int64(b) << 32 | low.astype(np.int64) for b, (_, _, low, _) in zip(buckets.tolist(), held, strict=True)])
@@ -237,7 +258,10 @@ def _lookups():
         order = np.lexsort((token, count, cls))
         cls, token = cls[order], token[order]
         first = np.arange(len(cls)) - np.searchsorted(cls, cls) < wanted[cls]
-        return pa.table({"token": pa.array(token[first]), "short": pa.array(names[cls[first]])})
+        cls = cls[first]
+        return pa.table({
+            "token": pa.array(token[first]), "short": pa.array(names[cls]), "low": pa.array(low_band[cls]), "high": pa.array(high_band[cls]),
+        })
 
     def sorted_known(table: pa.Table, known: pa.Table) -> pa.Table:
         return run(table, known.sort_by("short"))
@@ -245,6 +269,18 @@ def _lookups():
     return sorted_known
 
 
+def _meetings(lookups: DataFrame) -> DataFrame:
+    """(short, hub): edges that connect the classes that meet on a token, as far as their sizes are in equal or adjacent bands.
+
+    Per token and band the least class is the hub; classes of one band are joined with it, and hubs of adjacent bands.
+    """
+    placed = lookups.select("token", "short", F.explode(F.sequence("low", "high")).alias("band"))
+    hubs = placed.groupBy("token", "band").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("times"))
+    same = placed.join(hubs.where("times > 1"), ["token", "band"]).select("short", "hub")
+    above = hubs.select("token", (F.col("band") - 1).alias("band"), F.col("hub").alias("short"))
+    return same.unionByName(hubs.join(above, ["token", "band"]).select("short", "hub"))
+
+
 def _band(n: Column, percent: int) -> Column:
     """Bands whose sizes grow by 100 / percent: sets that link lie in equal or adjacent ones."""
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
@@ -431,18 +467,21 @@ def link(
         F.min("n").alias("n"), F.min("short").alias("short"), F.min(F.struct("print", "id")).alias("one")
     )
 
-    buckets = shuffle_partitions(spark)
-    dealt = _dealt(docs, **names, buckets=buckets)
-    shared = dealt.groupBy("bucket").applyInArrow(_shared(buckets), "part int, bucket int, payload binary")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    bucket_keys = _bucket_keys(spark, int(total))
+    dealt = _dealt(docs, **names, bucket_keys=bucket_keys)
+    shared = dealt.groupBy("bucket").applyInArrow(_shared(bucket_keys), "part int, bucket int, payload binary")
     # shingles that fall together are shared as one, so that the overlap may be less by as many; of classes with one short
     # key the one with the least overlap decides, which looks up most
     least = F.min(F.expr(f"({percent} * n + 99) div 100 - merged")).alias("least")
-    sizes = rows.where("n > 0").groupBy("short").agg(least).withColumn("part", F.expr(f"cast(pmod(short, {buckets}) as int)"))
-    lookups = shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_lookups(), "token long, short long")
+    band = _band(F.col("n"), percent)
+    sizes = rows.where("n > 0").groupBy("short").agg(least, F.min(band).alias("low"), F.max(band).alias("high"))
+    parts = spark.createDataFrame(list(enumerate(bucket_keys.tolist())), "at long, part int")
+    sizes = sizes.withColumn("at", F.pmod("short", F.lit(len(bucket_keys)))).join(F.broadcast(parts), "at").drop("at")
+    lookups = shared.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(_lookups(), "token long, short long, low int, high int")
     lookups = scratch.table(lookups, "lookups")
 
-    meet = lookups.groupBy("token").agg(F.min("short").alias("hub"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    candidates = lookups.join(meet, "token").select("short", "hub")
+    candidates = _meetings(lookups)
     roots = connected_components(scratch, candidates, "short", "hub").select(F.col("node").alias("short"), "root")
     comps = scratch.table(roots.join(classes, "short").drop("short"), "candidates")
     chunks = _chunks(scratch, comps, percent)
