@@ -54,6 +54,8 @@ class Settings:
     batches_per_worker: int = 2
     min_batches_per_file: int = 8
     embed_batch: int = 96
+    #: Files of a job's batch: what a job that stops has to do again at most.
+    checkpoint_files: int = 1000
     embedding_dimension: int = 3072
     skip_existing_embeddings: bool = True
     requests_per_minute: int = 500

@@ -73,8 +73,12 @@ class Engine:
     # ------------------------------------------------------------ ingestion
 
     def check(self) -> bool:
-        """Whether the session works and the store's folder can be reached."""
-        return self.spark.range(1).count() == 1 and (self.store is None or self.store.exists() or True)
+        """Whether the session works and the store's folder, if there is a store, can be written to."""
+        return self.spark.range(1).count() == 1 and (self.store is None or self.store.probe())
+
+    def refresh(self) -> None:
+        """Lets the views of the tables see what has been committed since."""
+        self.register_views()
 
     def ingest(self, folder: str, job_id: str = "default", *, resume: bool = True) -> str:
         return jobs.run(

@@ -1,11 +1,13 @@
 """Ingestion jobs: which files are done, what they gave, and the run that takes the rest.
 
-The ledger is a table with a row per (job, path); a job resumes from it, failed files stay pending, and fingerprints of
-earlier chunks come from the stored documents, so that a resumed job still skips what it has seen.
+The ledger is a table with a row per (job, path); a job resumes from it after its last batch, failed files stay pending, and
+fingerprints of earlier chunks come from the stored documents and from the chunks that wait to be merged, so that a resumed
+job still skips what it has seen. A file of which any chunk failed is failed; only its good chunks are stored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,10 +27,11 @@ from weftgraph.operators.graph import (
     upsert,
     without_embedding,
 )
-from weftgraph.plans.limits import RateLimiter
+from weftgraph.plans.limits import Progress, RateLimiter
 from weftgraph.sources import files as sources
-from weftgraph.sources.store import Store
+from weftgraph.sources.store import GRAPH_TABLES, Store
 
+LOG = logging.getLogger(__name__)
 DONE, FAILED, SKIPPED = "done", "failed", "skipped"
 
 
@@ -73,27 +76,44 @@ def chunk_pages(pages: DataFrame, settings: Settings) -> DataFrame:
     return chunking.number(chunking.clean(chunking.split(pages.drop("error"), settings), settings))
 
 
-def ingest_pages(
-    graph: Graph,
-    pages: DataFrame,
-    extractor: extract.Extractor,
-    embedder: Callable[[Sequence[str]], list[list[float]]],
-    now: Column,
-    settings: Settings = Settings(),
-) -> tuple[Graph, DataFrame]:
-    """The graph with the pages' chunks merged in, and per file: chunks, nodes, rels (as extracted) and error."""
+def _limiter(settings: Settings) -> Callable[[], RateLimiter]:
+    """Each of the tasks that ask a service gets its share of the budget."""
+    budget, share = (settings.requests_per_minute, settings.tokens_per_minute), 1.0 / max(1, settings.extract_workers)
+    return lambda: RateLimiter(*budget, share)
+
+
+def extracted_pages(
+    known: DataFrame, pages: DataFrame, extractor: extract.Extractor, settings: Settings = Settings()
+) -> tuple[DataFrame, DataFrame]:
+    """The new chunks of pages with nodes, relationships and error; and per file: pages, had (its chunks), chunks, nodes, rels
+    (as extracted) and error.
+
+    At most ``settings.extract_workers`` tasks ask the extractor. A file has an error if it couldn't be read or if any of its
+    chunks failed; chunks that failed are rows with an error, and aren't to be stored.
+    """
     good = cut(chunk_pages(pages.where("error IS NULL"), settings))
     fresh = good
     if settings.dedup_across_job:
-        fresh = chunking.without_known(chunking.across_files(good, ["source_path", "chunk_index"]), graph.documents)
-    spark = pages.sparkSession
-    tasks = max(1, spark.sparkContext.defaultParallelism)
-    share = 1.0 / min(tasks, settings.extract_workers * tasks)
-    budget = (settings.requests_per_minute, settings.tokens_per_minute)
-    found = cut(extract.extract(fresh, extractor, settings=settings, limiter_for=lambda: RateLimiter(*budget, share)))
+        fresh = chunking.without_known(chunking.across_files(good, ["source_path", "chunk_index"]), known)
+    fresh = fresh.repartition(max(1, settings.extract_workers))
+    found = cut(extract.extract(fresh, extractor, settings=settings, limiter_for=_limiter(settings)))
+    gave = found.groupBy("source_path").agg(
+        F.count_if(F.col("error").isNull()).alias("chunks"), F.sum(F.size("nodes")).alias("nodes"),
+        F.sum(F.size("relationships")).alias("rels"), F.count(F.col("error")).alias("failed"), F.min("error").alias("chunk_error"),
+    )
+    per_file = pages.groupBy("source_path").agg(F.max("error").alias("error"), F.count(F.lit(1)).alias("pages"))
+    had = good.groupBy("source_path").agg(F.count(F.lit(1)).alias("had"))
+    joined = per_file.join(had, "source_path", "left").join(gave, "source_path", "left")
+    told = F.concat(F.col("failed").cast("string"), F.lit(" chunks failed: "), F.col("chunk_error"))
+    return found, joined.withColumn("error", F.coalesce("error", F.when(F.col("failed") > 0, told))).drop("failed", "chunk_error")
+
+
+def merge_extracted(
+    graph: Graph, found: DataFrame, embedder: Callable[[Sequence[str]], list[list[float]]], now: Column, settings: Settings = Settings()
+) -> Graph:
+    """The graph with extracted chunks merged in, embedded, and with the provenance of its relationships filled in."""
     nodes = canonical_labels(extract.enriched_nodes(found))
     rels = extract.enriched_relationships(found, now)
-
     documents = found.select(
         "id", "text", "source_file", "source_path", "page", "chunk_index", "content_fingerprint", "char_count",
         F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("timestamp").alias("embedded_at"),
@@ -110,22 +130,17 @@ def ingest_pages(
     bare_documents = merged.documents.select("id", "text")
     if settings.skip_existing_embeddings:
         bare, bare_documents = without_embedding(bare, merged.entities), without_embedding(bare_documents, merged.documents)
-    vectors = cut(extract.embed(bare, embedder, text_col="embedding_text", size=settings.embed_batch))
-    document_vectors = cut(extract.embed(bare_documents, embedder, text_col="text", size=settings.embed_batch))
+    workers, limiter = max(1, settings.extract_workers), _limiter(settings)
+    vectors, document_vectors = (
+        cut(extract.embed(frame.repartition(workers), embedder, text_col=c, settings=settings, limiter_for=limiter)).where("embedding IS NOT NULL")
+        for frame, c in ((bare, "embedding_text"), (bare_documents, "text"))
+    )
     merged = merged.with_(
         entities=cut(set_embeddings(merged.entities, vectors, now)),
         documents=cut(set_embeddings(merged.documents, document_vectors.drop("text"), now)),
     )
     merged = merged.with_(relationships=cut(backfill_document_edges(merged, now)))
-    merged = merged.with_(relationships=cut(backfill_entity_edges(merged, now)))
-
-    gave = found.groupBy("source_path").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(F.size("nodes")).alias("nodes"), F.sum(F.size("relationships")).alias("rels"),
-        F.max("error").alias("chunk_error"),
-    )
-    per_file = pages.groupBy("source_path").agg(F.max("error").alias("error"), F.count(F.lit(1)).alias("pages"))
-    had = good.groupBy("source_path").agg(F.count(F.lit(1)).alias("had"))
-    return merged, per_file.join(had, "source_path", "left").join(gave, "source_path", "left")
+    return merged.with_(relationships=cut(backfill_entity_edges(merged, now)))
 
 
 def run(
@@ -139,33 +154,54 @@ def run(
     resume: bool = True,
     settings: Settings = Settings(),
     reader: Callable[[bytes], Sequence[str]] = sources.pdf_reader,
+    on_progress: Callable[[str], None] = LOG.info,
 ) -> str:
-    """Takes a folder's files that aren't done: one pass over all of them, then the ledger; the job's summary."""
+    """Takes a folder's files that aren't done, batch by batch, and merges what they gave; the job's summary.
+
+    A batch's chunks, with what the extractor made of them, and its files' ledger are one commit: a job that stops goes on
+    after its last batch and asks the extractor nothing twice. The graph is merged and embedded once, after the last batch,
+    from all chunks that wait for it, in one commit as well.
+    """
     spark: SparkSession = store.spark
     if not resume:
         reset(store, job_id)
     listed = sources.list_files(spark, folder, recursive=True)
-    if listed.isEmpty():
+    if listed.select("path").isEmpty():
         return "No PDF or TXT files found in the folder."
-    ledger = store.job_files()
-    done = ledger.where((F.col("job_id") == job_id) & F.col("status").isin(DONE, SKIPPED))
-    left = sources.pending(listed, done)
-    if left.isEmpty():
-        return summary(store, job_id)
-    pages = cut(sources.pages(left, reader))
-    graph, gave = ingest_pages(store.graph(), pages, extractor, embedder, now, settings)
-    gave = cut(gave)
-    state = F.when(F.col("error").isNotNull(), FAILED).when(F.coalesce("had", F.lit(0)) == 0, SKIPPED).otherwise(DONE)
-    rows = gave.select(
-        F.lit(job_id).alias("job_id"), F.col("source_path").alias("path"), state.alias("status"), "error",
-        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("chunks", "nodes", "rels")],
-        F.lit(folder).alias("folder"), now.alias("finished"),
-    )
-    store.save(graph)
-    store.write("job_files", cut(mark(ledger, rows)))
+    done = store.job_files().where((F.col("job_id") == job_id) & F.col("status").isin(DONE, SKIPPED))
+    batches = cut(sources.batches(listed, done, settings.checkpoint_files))
+    total = batches.count()
+    progress = Progress(total, on_progress)
+    for number in range(-(-total // settings.checkpoint_files)):
+        progress.start()
+        # the paths of one batch
+        paths = [r["path"] for r in batches.where(F.col("batch") == number).select("path").collect()]
+        pages = cut(sources.pages(sources.files_at(spark, paths), reader))
+        known = store.graph().documents.select("content_fingerprint").unionByName(store.extracted().select("content_fingerprint"))
+        found, gave = extracted_pages(known, pages, extractor, settings)
+        state = F.when(F.col("error").isNotNull(), FAILED).when(F.coalesce("had", F.lit(0)) == 0, SKIPPED).otherwise(DONE)
+        rows = gave.select(
+            F.lit(job_id).alias("job_id"), F.col("source_path").alias("path"), state.alias("status"), "error",
+            *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("chunks", "nodes", "rels")],
+            F.lit(folder).alias("folder"), now.alias("finished"),
+        )
+        rows = cut(rows)
+        store.commit(
+            {"job_files": mark(store.job_files(), rows)}, {"extracted": found.where("error IS NULL").select(*store.extracted().columns)}
+        )
+        progress.finish_all([(r["chunks"], r["error"]) for r in rows.select("chunks", "error").collect()])
+    merge(store, embedder, now, settings)
     return summary(store, job_id)
 
 
+def merge(store: Store, embedder: Callable[[Sequence[str]], list[list[float]]], now: Column, settings: Settings = Settings()) -> None:
+    """Merges the chunks that wait into the graph; does nothing if there are none."""
+    waiting = store.extracted()
+    if not waiting.isEmpty():
+        graph = merge_extracted(store.graph(), waiting, embedder, now, settings)
+        store.commit({**{name: getattr(graph, name) for name in GRAPH_TABLES}, "extracted": None})
+
+
 def retry_failed(store: Store, job_id: str, *args, **options) -> str:
     """Runs a job again over its own folder; its failed files are still pending."""
     row = store.job_files().where((F.col("job_id") == job_id) & F.col("folder").isNotNull()).select("folder").first()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import asyncio
 import threading
 import time
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 
@@ -48,6 +49,10 @@ class RateLimiter:
             self._sleep(pause)
             waited += pause
 
+    async def acquire_async(self, tokens: float = 0) -> float:
+        """``acquire`` for coroutines: others go on while it waits."""
+        return await asyncio.to_thread(self.acquire, tokens)
+
     def report(self, estimated: float, actual: float) -> None:
         """Puts back, or takes, the difference between estimated and actual tokens."""
         with self._lock:
@@ -102,6 +107,17 @@ class Progress:
         if self.on_change:
             self.on_change(self.line() + (f" failed: {error}" if error else ""))
 
+    def finish_all(self, results: Sequence[tuple[int, str | None]]) -> None:
+        """Items (chunks, error) that were done together since ``start``; each counts with an even part of the time."""
+        each = (self.clock() - self._began) / max(1, len(results))
+        for chunks, error in results:
+            self.last.append(each)
+            self.done += error is None
+            self.failed += error is not None
+            self.chunks += chunks
+        if self.on_change:
+            self.on_change(self.line())
+
     @property
     def share(self) -> float:
         return (self.done + self.failed) / self.total if self.total else 0.0
