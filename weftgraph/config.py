@@ -68,6 +68,8 @@ class Settings:
     document_top_k: int = 7
     fallback_depth: int = 10
     context_depth: int = 3
+    #: Nodes, relationships and bridges of an expansion that reach the driver at most.
+    context_rows: int = 10_000
     vector_weight: float = 0.6
     graph_weight: float = 0.4
     excluded_types: tuple[str, ...] = ("MENTIONS",)

@@ -59,8 +59,10 @@ def cut(frame: DataFrame) -> DataFrame:
     """The frame, checkpointed: long loops neither grow their plan nor lose their work with an executor."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        root = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="weftgraph-")
-        context.setCheckpointDir(root)
+        root = context.getConf().get("spark.checkpoint.dir")
+        if not root and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="weftgraph-"))
     return frame.checkpoint()
 
 

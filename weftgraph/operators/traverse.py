@@ -1,8 +1,10 @@
 """Graph traversals as frontier joins, all seeds in one job.
 
-A hop joins the frontier with the adjacency, drops what was reached before with an anti-join and is checkpointed; depth is
-bounded, so a traversal is a bounded number of jobs whatever the size of the graph. Excluded types are filtered before the
-walk where the walk must not use them, and after it where it may.
+The adjacency is written once for a walk of several hops. A hop joins the frontier with it, drops what was reached before with
+an anti-join and is checkpointed; depth is bounded, so a traversal is a bounded number of jobs whatever the size of the graph.
+A frontier that has been counted and found small is broadcast: links then stay where they are, and a hub's links, which lie in
+all partitions, are worked on by all tasks. A larger one is joined by shuffling, where adaptive execution splits hubs. Excluded
+types are filtered before the walk where the walk must not use them, and after it where it may.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from weftgraph.functions import text
 from weftgraph.operators.graph import Graph, cut, has_label, kept_types, undirected
 
 MAX_NEIGHBORS = 50
+#: Rows of a frontier, or of what was reached, that are broadcast (under 100 bytes each).
+BROADCAST_FRONTIER = 100_000
 #: Buckets of a model's neighbours, first match first: name, labels, and the types that it is limited to.
 MODEL_BUCKETS = (
     ("developed_by", ("AICompany", "Organization"), ()),
@@ -41,17 +45,28 @@ def adjacency(relationships: DataFrame, direction: str = "both") -> DataFrame:
     raise ValueError(f"direction must be both, out or in, not {direction!r}")
 
 
-def _walk(start: DataFrame, adjacency: DataFrame, keys: Sequence[str], depth: int) -> DataFrame:
-    """Nodes reached from start (keys..., id, dist), each at its least distance."""
+def _links(adjacency: DataFrame, depth: int) -> DataFrame:
+    """(id, _next) of an adjacency; written first if several hops read it."""
+    pairs = adjacency.select(F.col("src").alias("id"), F.col("dst").alias("_next"))
+    return cut(pairs) if depth > 1 else pairs
+
+
+def _small(frame: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(frame) if rows <= BROADCAST_FRONTIER else frame
+
+
+def _walk(start: DataFrame, links: DataFrame, keys: Sequence[str], depth: int, done: int = 0) -> DataFrame:
+    """Nodes reached from start (keys..., id, dist), which is ``done`` hops away, each at its least distance."""
     reached = frontier = cut(start)
-    links = adjacency.select(F.col("src").alias("id"), F.col("dst").alias("_next")).distinct()
-    for hop in range(1, depth + 1):
-        following = frontier.join(links, "id").select(*keys, F.col("_next").alias("id")).distinct()
-        following = following.join(reached.select(*keys, "id"), [*keys, "id"], "left_anti")
-        frontier = cut(following.withColumn("dist", F.lit(hop)))
-        if frontier.isEmpty():
+    rows = total = frontier.count()
+    for hop in range(done + 1, depth + 1):
+        if not rows:
             break
-        reached = reached.unionByName(frontier)
+        following = links.join(_small(frontier, rows), "id").select(*keys, F.col("_next").alias("id")).distinct()
+        following = following.join(_small(reached.select(*keys, "id"), total), [*keys, "id"], "left_anti")
+        frontier = cut(following.withColumn("dist", F.lit(hop)))
+        rows = frontier.count()
+        reached, total = reached.unionByName(frontier), total + rows
     return reached
 
 
@@ -59,8 +74,11 @@ def distances(
     relationships: DataFrame, seeds: DataFrame, depth: int, *, direction: str = "both", excluded: Sequence[str] = ()
 ) -> DataFrame:
     """(seed, id, dist) of all nodes within depth hops of each seed (a frame with a column id), seeds included."""
-    start = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("dist", F.lit(0))
-    return _walk(start, adjacency(kept_types(relationships, excluded), direction), ["seed"], depth)
+    return _distances(_links(adjacency(kept_types(relationships, excluded), direction), depth), seeds, depth)
+
+
+def _distances(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    return _walk(seeds.select(F.col("id").alias("seed"), "id").distinct().withColumn("dist", F.lit(0)), links, ["seed"], depth)
 
 
 def distance_to_any(
@@ -68,7 +86,7 @@ def distance_to_any(
 ) -> DataFrame:
     """(id, dist): the least distance to any seed; one frontier for all seeds."""
     start = seeds.select("id").distinct().withColumn("dist", F.lit(0))
-    return _walk(start, adjacency(kept_types(relationships, excluded)), [], depth)
+    return _walk(start, _links(adjacency(kept_types(relationships, excluded)), depth), [], depth)
 
 
 def neighbors(
@@ -89,17 +107,17 @@ def neighbors(
     if types:
         rels = rels.where(F.col("type").isin(list(types)))
     links = adjacency(rels, direction)
-    seeds = seeds.select("id").distinct()
-    first = links.join(seeds, links.src == seeds.id).select(
-        F.col("src").alias("seed"), F.col("type").alias("relationship"), F.col("dst").alias("id")
-    )
+    seeds = cut(seeds.select("id").distinct())
+    asked = _small(seeds.withColumnRenamed("id", "seed"), seeds.count())
+    first = links.join(asked, F.col("src") == F.col("seed")).select("seed", F.col("type").alias("relationship"), F.col("dst").alias("id"))
     start = first.distinct().withColumn("dist", F.lit(1))
-    found = _walk_from(start, links, depth).where("id <> seed")
+    found = _walk(start, _links(links, depth - 1), ["seed", "relationship"], depth, 1).where("id <> seed")
     named = found.join(graph.nodes, "id").select(
         "seed", "id", F.coalesce("name", "id").alias("name"), "description", "labels", "relationship", "dist"
     )
     if limit is None:
         return named
+    # the optimizer limits each task's rows of a seed before they meet
     place = F.row_number().over(_by_seed())
     return named.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
 
@@ -108,21 +126,6 @@ def _by_seed():
     return Window.partitionBy("seed").orderBy("dist", "id", "relationship")
 
 
-def _walk_from(start: DataFrame, links: DataFrame, depth: int) -> DataFrame:
-    """Like _walk, from a first hop that has been made."""
-    reached = frontier = cut(start)
-    pairs = links.select(F.col("src").alias("id"), F.col("dst").alias("_next")).distinct()
-    keys = ["seed", "relationship"]
-    for hop in range(2, depth + 1):
-        following = frontier.join(pairs, "id").select(*keys, F.col("_next").alias("id")).distinct()
-        following = following.join(reached.select(*keys, "id"), [*keys, "id"], "left_anti")
-        frontier = cut(following.withColumn("dist", F.lit(hop)))
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
-
-
 class Subgraph(NamedTuple):
     """nodes and relationships kept, bridges between seeds, and (seed, id) of all nodes reached."""
 
@@ -187,18 +190,20 @@ def shortest_path(
     spark = graph.relationships.sparkSession
     if graph.nodes.where(F.col("id").isin(start, end)).select("id").distinct().count() < len({start, end}):
         return None
-    links = adjacency(kept_types(graph.relationships, excluded)).distinct()
+    links = adjacency(kept_types(graph.relationships, excluded))
+    links = cut(links) if max_depth > 1 else links
     level = spark.createDataFrame([(start, None, None)], "id string, parent string, type string")
-    levels, reached, found = [], level, start == end
+    levels, reached, found, rows, total = [], level, start == end, 1, 1
     while not found and len(levels) < max_depth:
-        step = level.select(F.col("id").alias("src")).join(links, "src")
+        step = links.join(_small(level.select(F.col("id").alias("src")), rows), "src")
         best = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.col("src").alias("parent"), "type")).alias("p"))
-        level = cut(best.select("id", "p.parent", "p.type").join(reached.select("id"), "id", "left_anti"))
-        if level.isEmpty():
+        level = cut(best.select("id", "p.parent", "p.type").join(_small(reached.select("id"), total), "id", "left_anti"))
+        here = level.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("id") == end).alias("hits")).first()
+        rows, found = here["rows"], here["hits"] > 0
+        if not rows:
             return None
         levels.append(level)
-        reached = reached.unionByName(level)
-        found = not level.where(F.col("id") == end).isEmpty()
+        reached, total = reached.unionByName(level), total + rows
     if not found:
         return None
     ids, types = [end], []
@@ -218,9 +223,9 @@ def path_length(
     relationships: DataFrame, pairs: DataFrame, max_depth: int = 5, *, excluded: Sequence[str] = ("MENTIONS",)
 ) -> DataFrame:
     """(start, end, length) of the pairs that are within max_depth, by two frontiers that meet half way."""
-    rels = kept_types(relationships, excluded)
-    near = distances(rels, pairs.select(F.col("start").alias("id")), (max_depth + 1) // 2)
-    far = distances(rels, pairs.select(F.col("end").alias("id")), max_depth // 2)
+    links = _links(adjacency(kept_types(relationships, excluded)), max_depth)
+    near = _distances(links, pairs.select(F.col("start").alias("id")), (max_depth + 1) // 2)
+    far = _distances(links, pairs.select(F.col("end").alias("id")), max_depth // 2)
     ahead = near.select(F.col("seed").alias("start"), "id", F.col("dist").alias("_a"))
     behind = far.select(F.col("seed").alias("end"), "id", F.col("dist").alias("_b"))
     met = pairs.select("start", "end").distinct().join(ahead, "start").join(behind, ["end", "id"])

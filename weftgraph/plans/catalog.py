@@ -183,10 +183,10 @@ def chunk_dedup_global(spark, sf_dir):
     return chunks.across_files(every, ["doc_id", "piece"]).select("doc_id", "piece", "content_fingerprint")
 
 
-@query(f"""SELECT doc_id, sha1({NORM_SQL})[1:16] AS content_fingerprint FROM documents WHERE lang = 'en' AND sha1({NORM_SQL}) NOT IN
-    (SELECT sha1({NORM_SQL}) FROM documents WHERE lang = 'en' AND source = 'src0')""")
+@query(f"""SELECT doc_id, sha1({NORM_SQL})[1:16] AS content_fingerprint FROM documents WHERE sha1({NORM_SQL}) NOT IN
+    (SELECT sha1({NORM_SQL}) FROM documents WHERE source = 'src0')""")
 def known_chunk_antijoin(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("content_fingerprint", text.fingerprint("text"))
+    docs = table(spark, sf_dir, "documents").withColumn("content_fingerprint", text.fingerprint("text"))
     return chunks.without_known(docs, docs.where("source = 'src0'")).select("doc_id", "content_fingerprint")
 
 
@@ -295,10 +295,10 @@ def question_signals(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE WHEN coalesce(p_type, '') <> '' THEN p_name || ': ' || p_type ELSE p_name END AS embedding_text,
-    p_name || ' p.' || (p_size + 1) AS source FROM part""")
+    CASE WHEN p_size >= 10 THEN p_name || ' p.' || (p_size - 9) ELSE p_name END AS source FROM part""")
 def embedding_and_source_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select(
-        "p_partkey", text.embedding_text("p_name", "p_type").alias("embedding_text"), text.chunk_source("p_name", "p_size").alias("source")
+        "p_partkey", text.embedding_text("p_name", "p_type").alias("embedding_text"), text.chunk_source("p_name", F.col("p_size") - 10).alias("source")
     )
 
 
@@ -442,8 +442,8 @@ def _reach_sql(seeds: str, depth: int, edges: str, rest: str) -> str:
 
 @query(_reach_sql("'C1'", 3, "SELECT * FROM und WHERE type IN ('PLACED', 'CONTAINS')", "SELECT id, dist FROM reach"))
 def khop_distances(spark, sf_dir):
-    rels = star_graph.relationships(spark, sf_dir).where("type IN ('PLACED', 'CONTAINS')")
-    return traverse.distances(rels, _seeds(spark, "C1"), 3).select("id", "dist")
+    excluded = ("SUPPLIED_BY", "LOCATED_IN", "PART_OF", "MENTIONS")
+    return traverse.distances(star_graph.relationships(spark, sf_dir), _seeds(spark, "C1"), 3, excluded=excluded).select("id", "dist")
 
 
 @query(_reach_sql("'C1', 'C2', 'P1'", 2, "SELECT * FROM und", "SELECT seed, id, dist FROM reach"))
@@ -488,14 +488,14 @@ PAIRS = [("P1", "P2"), ("P1", "P3"), ("P1", "R0"), ("P1", "R1"), ("P1", "R2"), (
 @query(_reach_sql("'P1', 'P2'", 4, "SELECT * FROM und WHERE type IN ('SUPPLIED_BY', 'LOCATED_IN', 'PART_OF')", f"""SELECT seed AS start, id AS "end",
     dist AS length FROM reach WHERE (seed, id) IN ({", ".join(map(str, PAIRS))})"""))
 def shortest_path_length(spark, sf_dir):
-    rels = star_graph.relationships(spark, sf_dir).where("type IN ('SUPPLIED_BY', 'LOCATED_IN', 'PART_OF')")
-    return traverse.path_length(rels, spark.createDataFrame(PAIRS, "start string, end string"), 4)
+    pairs = spark.createDataFrame(PAIRS, "start string, end string")
+    return traverse.path_length(star_graph.relationships(spark, sf_dir), pairs, 4, excluded=("PLACED", "CONTAINS", "MENTIONS"))
 
 
 @query(_reach_sql("'S1', 'S2'", 3, "SELECT * FROM und WHERE type IN ('SUPPLIED_BY', 'LOCATED_IN')", "SELECT id, min(dist) AS dist FROM reach GROUP BY id"))
 def shortest_distance_to_anchors(spark, sf_dir):
-    rels = star_graph.relationships(spark, sf_dir).where("type IN ('SUPPLIED_BY', 'LOCATED_IN')")
-    return traverse.distance_to_any(rels, _seeds(spark, "S1", "S2"), 3)
+    excluded = ("PLACED", "CONTAINS", "PART_OF", "MENTIONS")
+    return traverse.distance_to_any(star_graph.relationships(spark, sf_dir), _seeds(spark, "S1", "S2"), 3, excluded=excluded)
 
 
 @query(_reach_sql("'P1'", 3, "SELECT dst AS src, src AS dst, type FROM rels", "SELECT id, dist FROM reach WHERE dist > 0"))
@@ -524,11 +524,11 @@ def compare_common_neighbors(spark, sf_dir):
            floor((0.6::DOUBLE * s.score + 0.4::DOUBLE * CASE WHEN d.dist IS NULL THEN 0 ELSE greatest(0, 1 - d.dist / 6.0::DOUBLE) END) * 1e4 + 0.5) / 1e4 AS score
     FROM s LEFT JOIN d ON d.id = s.id"""))
 def graph_rerank(spark, sf_dir):
-    rels = star_graph.relationships(spark, sf_dir).where("type IN ('SUPPLIED_BY', 'LOCATED_IN', 'PART_OF')")
+    rels = star_graph.relationships(spark, sf_dir)
     found = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), ((F.col("s_acctbal") + 1000) / 11000).alias("score")
     )
-    out = rank.rerank(found, rels, _seeds(spark, "S1", "S2"))
+    out = rank.rerank(found, rels, _seeds(spark, "S1", "S2"), excluded=("PLACED", "CONTAINS", "MENTIONS"))
     return out.select("id", *[text.half_up(F.col(c), 9).alias(c) for c in ("original_score", "graph_proximity")], "score")
 
 
@@ -709,16 +709,6 @@ def hash_embed(spark, sf_dir):
     return extract.embed(docs, extract.HashingEmbedder(64), text_col="text").select("doc_id", "embedding")
 
 
-@query()
-def gazetteer_extract(spark, sf_dir):
-    """Entities and relationships of all documents, found by names and cues, enriched."""
-    names = {"Apache License": "License", "Public License": "License", "MIT License": "License", "The": "Concept", "De": "Concept"}
-    chunked = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("source_file"))
-    found = extract.extract(chunked, extract.GazetteerExtractor(names))
-    nodes = extract.enriched_nodes(found)
-    return nodes.select("id", "name", F.array_join("labels", ",").alias("labels"), "description", "confidence", "source_document", "source_chunk")
-
-
 @query()
 def hybrid_query(spark, sf_dir):
     """A question answered over documents, benchmark passages as entities, and their mentions."""
@@ -728,9 +718,18 @@ def hybrid_query(spark, sf_dir):
         F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("id"), F.regexp_extract("text", r"^\S+ \S+ \S+", 0).alias("name"),
         F.array(F.lit("Concept")).alias("labels"), F.col("text").alias("description"),
     )
+    # each passage is about a part and a nation, so that walks from it lead into the star schema
+    number = F.col("item_id").cast("string")
+    about = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("B"), number).alias("src"),
+        F.explode(F.array(F.concat(F.lit("P"), (F.col("item_id") + 1).cast("string")), F.concat(F.lit("N"), (F.col("item_id") % 25).cast("string")))).alias("dst"),
+        F.lit("RELATED_TO").alias("type"),
+    )
+    others = star_graph.entities(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    embedded = extract.embed(items, embedder, text_col="description")
     g = graph.Graph(
-        graph.cut(extract.embed(items, embedder, text_col="description")), graph.cut(extract.embed(docs, embedder, text_col="text")),
-        star_graph.relationships(spark, sf_dir).where("type = 'MENTIONS'"),
+        graph.cut(embedded.unionByName(others)), graph.cut(extract.embed(docs, embedder, text_col="text")),
+        star_graph.relationships(spark, sf_dir).unionByName(about),
     )
     asked = table(spark, sf_dir, "benchmark").where("item_id = 0").first()["text"]
     out = Hybrid(g, embedder, settings=Settings(entity_threshold=0.5, document_threshold=0.5)).answer(asked)

@@ -26,6 +26,10 @@ WRITES = re.compile(
 )
 
 
+#: Rows that reach the driver at most, of a statement or of a context.
+MOST_ROWS = 100_000
+
+
 def is_read_only(statement: str | None) -> bool:
     return bool(statement and statement.strip()) and not WRITES.search(statement)
 
@@ -163,23 +167,32 @@ class Engine:
             "context_summary": "".join(about),
         }
 
-    def multi_entity_context(self, ids: Sequence[str], depth: int = 3) -> dict:
-        """What several nodes have around them, and what joins them."""
-        empty = {"entities": [], "bridge_nodes": [], "relationship_chains": [], "merged_context": {"nodes": [], "relationships": []}}
+    def multi_entity_frames(self, ids: Sequence[str], depth: int = 3) -> traverse.Subgraph:
+        """What several nodes have around them, and what joins them, as frames of any size."""
+        return traverse.expand(self.graph, self._node(*dict.fromkeys(ids)), depth, excluded=self.settings.excluded_types)
+
+    def multi_entity_context(self, ids: Sequence[str], depth: int = 3, limit: int = MOST_ROWS) -> dict:
+        """The same as lists of at most ``limit`` nodes and relationships, in the order of their ids; ``truncated`` tells whether
+        there are more, and the summary counts all."""
+        empty = {"truncated": False, "entities": [], "bridge_nodes": [], "relationship_chains": [], "merged_context": {"nodes": [], "relationships": []}}
         if not ids:
             return empty | {"context_summary": "No entities were given."}
         known = _rows(self.graph.nodes.join(self._node(*dict.fromkeys(ids)), "id", "left_semi").orderBy("id"))
         if not known:
             return empty | {"context_summary": "None of the given entities is known."}
-        found = traverse.expand(self.graph, self._node(*dict.fromkeys(ids)), depth, excluded=self.settings.excluded_types)
-        nodes, bridges = _rows(found.nodes.orderBy("id")), _rows(found.bridges.orderBy("id"))
-        rels = [{"start": r["src"], "end": r["dst"], "type": r["type"]} for r in found.relationships.orderBy("src", "type", "dst").collect()]
+        found = self.multi_entity_frames(ids, depth)
+        n_nodes, n_rels = found.nodes.count(), found.relationships.count()
+        nodes, bridges = _rows(found.nodes.orderBy("id").limit(limit)), _rows(found.bridges.orderBy("id").limit(limit))
+        rels = [
+            {"start": r["src"], "end": r["dst"], "type": r["type"]}
+            for r in found.relationships.select("src", "dst", "type").orderBy("src", "type", "dst").limit(limit).collect()
+        ]
         summary = [f"{len(known)} entities: {', '.join(e['name'] or e['id'] for e in known)}"]
         if bridges:
             summary.append(f"joined by {', '.join(b['name'] or b['id'] for b in bridges[:5])}")
-        summary.append(f"{len(nodes)} nodes and {len(rels)} relationships around them")
+        summary.append(f"{n_nodes} nodes and {n_rels} relationships around them")
         return {
-            "entities": known, "bridge_nodes": bridges, "merged_context": {"nodes": nodes, "relationships": rels},
+            "truncated": max(n_nodes, n_rels) > limit, "entities": known, "bridge_nodes": bridges, "merged_context": {"nodes": nodes, "relationships": rels},
             "relationship_chains": [f"{r['start']} --[{r['type']}]--> {r['end']}" for r in rels[:20]], "context_summary": "\n".join(summary),
         }
 
@@ -260,13 +273,21 @@ class Engine:
                       UNION SELECT src, type FROM relationships WHERE dst = node"""
         )
 
-    def execute_sql(self, statement: str, params: dict | None = None) -> list[dict]:
-        """The rows of a read-only statement over the views, or one row with an error."""
+    def sql(self, statement: str, params: dict | None = None) -> DataFrame:
+        """A read-only statement over the views as a frame, whatever its size."""
         if not is_read_only(statement):
-            return [{"error": "only read-only statements are run"}]
+            raise ValueError("only read-only statements are run")
+        self.register_views()
+        return self.spark.sql(statement, args=params or {})
+
+    def execute_sql(self, statement: str, params: dict | None = None, limit: int = MOST_ROWS) -> list[dict]:
+        """The rows of a read-only statement over the views, or one row with an error.
+
+        A result of more rows than ``limit`` is an error that says so: ``sql`` has no bound.
+        """
         try:
-            self.register_views()
-            return _rows(self.spark.sql(statement, args=params or {}))
+            found = _rows(self.sql(statement, params).limit(limit + 1))
+            return found if len(found) <= limit else [{"error": f"the result has more than {limit} rows; sql() gives it as a frame"}]
         except Exception as e:  # noqa: BLE001  told in the row
             return [{"error": str(e)}]
 

@@ -72,8 +72,9 @@ def reset(store: Store, job_id: str) -> None:
 
 
 def chunk_pages(pages: DataFrame, settings: Settings) -> DataFrame:
-    """Pages as cleaned, numbered chunks."""
-    return chunking.number(chunking.clean(chunking.split(pages.drop("error"), settings), settings))
+    """Pages as cleaned, numbered chunks; files of one name in several folders are several files."""
+    cleaned = chunking.clean(chunking.split(pages.drop("error"), settings), settings, file_col="source_path")
+    return chunking.number(cleaned, file_col="source_path")
 
 
 def _limiter(settings: Settings) -> Callable[[], RateLimiter]:
