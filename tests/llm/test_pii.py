@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 
+from tests.llm.edge import ascii_lower
 from weftgraph.llm import pii
 
 PLAIN = {
@@ -68,13 +70,104 @@ def test_patterns_discover_unseen_numbers(found):
     assert all(not found[200 + i] for i in range(9)) and not found[300] and not found[301] and not found[302]
 
 
-def test_patterns_in_several_passes(spark, found, monkeypatch):
-    monkeypatch.setattr(pii, "PATTERNS_PER_PASS", 1)
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+def test_patterns_that_are_joined(spark, found, monkeypatch):
+    monkeypatch.setattr(pii, "PATTERNS", 0)
+    docs = spark.createDataFrame([(i, t, 0, "x") for i, t in corpus()], "doc_id long, text string, _k1 int, _held string")
     again = {r["id"]: [(s["kind"], s["start"], s["end"], s["source"]) for s in r["spans"]] for r in pii.find(docs).collect()}
     assert again == found
-    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
-    assert masked[100] == "Please call me at [PHONE] or later today" and masked[302] is None
+    out = pii.redact(docs)
+    masked = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert masked[100] == "Please call me at [PHONE] or later today" and masked[302] is None and out.columns == docs.columns
+
+
+def plain_graph(texts: list[str], support: int):
+    """Patterns, instances and their scores in plain Python, words as they stand: ({(kind, words, form): confidence}, discovered)."""
+    low = [ascii_lower(t) for t in texts]
+
+    def near(t, a, b):
+        left, right = re.findall(r"[^\x20\x09-\x0d]+", t[:a]), re.match(r"[\x20\x09-\x0d]+([^\x20\x09-\x0d]+)", t[b:])
+        if not a or t[a - 1] not in " \t\n\x0b\x0c\r":
+            return []
+        out = [(left[-2], left[-1], 1)] if len(left) > 1 else []
+        return out + ([(left[-1], right[1], 2)] if left and right else [])
+
+    seeds, unseen, total = defaultdict(Counter), [], Counter()
+    for t, l in zip(texts, low, strict=True):
+        spans = plain_spans(t)
+        for kind, a, b in spans:
+            for p in near(l, a, b):
+                seeds[p, kind][t[a:b]] += 1
+        for a, b in pii.candidates(t, spans):
+            kinds = [k for k in pii.KINDS if pii._like(k, t[a:b])]
+            unseen += [(p, k, t[a:b]) for p in near(l, a, b) for k in kinds]
+        words = re.findall(r"[^\x20\x09-\x0d]+", l)
+        for x, y, z in zip(words, words[1:], words[2:], strict=False):
+            total[x, y, 1] += 1
+            total[x, z, 2] += 1
+    hits = {key: sum(c.values()) for key, c in seeds.items()}
+    distinct = {key: set(c) for key, c in seeds.items()}
+    found, weights, strong = set(), {}, None
+    while True:
+        now = {key for key, names in distinct.items() if len(names) >= support}
+        if now == strong:
+            return score, found
+        strong = now
+        edges = Counter((p, k, v) for p, k, v in unseen if (p, k) in strong)
+        weights = {(k, v): weights.get((k, v), 0.0) for _, k, v in edges}
+        for _ in range(3):
+            score = {}
+            for p, k in strong:
+                mine = [(v, n) for (q, j, v), n in edges.items() if (q, j) == (p, k)]
+                others = sum(n for _, n in mine)
+                more = sum(n * weights[k, v] for v, n in mine)
+                score[p, k] = (hits.get((p, k), 0) + more) / (max(total[p], hits.get((p, k), 0) + others) + 1)
+            for k, v in weights:
+                miss = 1.0
+                for q, j, w in edges:
+                    miss *= 1 - min(score[q, j], 0.999) if (j, w) == (k, v) else 1
+                weights[k, v] = 1 - miss
+        best = {}
+        for (p, k), c in score.items():
+            if c >= 0.8:
+                best[p] = max(best.get(p, (0, "")), (c, k))
+        before = set(found)
+        found |= {(k, v) for p, k, v in edges if best.get(p, (0, ""))[1] == k}
+        if found == before:
+            return score, found
+        for p, k, v in unseen:
+            if (k, v) in found:
+                distinct.setdefault((p, k), set()).add(v)
+
+
+def graph_texts(seed: int) -> list[str]:
+    """Texts in which a few words stand around numbers and addresses of several kinds, mostly where they belong."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(200):
+        lead, value = rng.choice([
+            ("please call", f"+1 212 555 {rng.randrange(1000, 1060)}"), ("Call us", f"+1 212 555 {rng.randrange(1000, 1060)}"),
+            ("please call", f"212-555-{rng.randrange(7000, 7012)}"), ("desk phone", f"212-555-{rng.randrange(7000, 7012)}"),
+            ("desk phone", f"212-555-{rng.randrange(8000, 8012)}"), ("write to", f"user{rng.randrange(30)}@mail.org"),
+            ("write to", f"user{rng.randrange(9)}(at)mail.org"), ("host at", f"10.0.0.{rng.randrange(40)}"),
+            ("host at", f"fe80::{rng.randrange(9)}:ab"), ("room number", f"{rng.randrange(10**7, 10**8)}"), ("card no", "4111111111111111"),
+        ])
+        if rng.random() < 0.05:
+            lead = rng.choice(["please call", "write to", "host at", "desk phone"])
+        words = [rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(rng.randrange(4))]
+        out.append(" ".join([*words, lead, value, rng.choice(["now", "or later", "", f"x{i}"]), *words]))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "support"), [(1, 3), (2, 2), (3, 5)])
+def test_the_scored_graph_is_that_of_plain_python(spark, seed, support):
+    texts = graph_texts(seed)
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    expected, found = plain_graph(texts, support)
+    assert len(expected) > 5 and found
+    names = {pii._pattern(x, y, form): (x, y, form) for (x, y, form), _ in expected}
+    scored = {(names[r["pattern"]], r["kind"]): r["confidence"] for r in pii.score_patterns(frame, support=support).collect()}
+    assert scored.keys() == expected.keys()
+    assert all(scored[k] == pytest.approx(expected[k], abs=1e-9) for k in expected)
 
 
 def test_seeds_stay(found):

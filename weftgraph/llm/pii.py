@@ -9,7 +9,8 @@ are induced and scored again, until no pattern is new. All seeds stay.
 
 A pattern must surround several distinct seeds of one kind and hardly anything else, so ordinary words never become a
 pattern. Which patterns occur is tested against a bitmap of fixed size before any of their occurrences are counted; what
-passes by chance drops out in the join.
+passes by chance drops out in the join. Accepted patterns are broadcast while they are few, and joined with the candidates
+otherwise; the graph itself never leaves its tables.
 
 Defined results: null text counts as empty; positions are code points of the whole text, ends exclusive; null or repeated
 identifiers have a row each; an empty table gives no rows; extra columns are ignored by ``find`` and kept by ``redact``.
@@ -25,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftgraph.llm.common import Scratch, fresh, trimmed
 from weftgraph.llm.packing import slices
@@ -34,8 +34,8 @@ from weftgraph.llm.words import BASE, hash_words, mix
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs so many distinct seeds, and so high a share of its occurrences.
 SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
-#: Bits of the bitmap of patterns (8 MB), and patterns that one pass over the texts applies.
-BITMAP, PATTERNS_PER_PASS = 1 << 26, 1_000_000
+#: Bits of the bitmap of patterns (8 MB), and accepted patterns that are broadcast (9 bytes each); more are joined.
+BITMAP, PATTERNS = 1 << 26, 1_000_000
 #: Words are the same as those that hash_words sees.
 WHITE = tuple(" \t\n\x0b\x0c\r")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -342,19 +342,19 @@ def score_patterns(texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
         strong = more
 
 
-def _passes(patterns: DataFrame):
-    """The patterns in dictionaries of at most PATTERNS_PER_PASS, each broadcast; one kind a pattern, the surest."""
-    some: dict[int, str] = {}
-    for pattern, kind in _surest(patterns).toLocalIterator():
-        some[pattern] = kind
-        if len(some) == PATTERNS_PER_PASS:
-            yield patterns.sparkSession.sparkContext.broadcast(some)
-            some = {}
-    if some:
-        yield patterns.sparkSession.sparkContext.broadcast(some)
+class Known:
+    """The kinds of at most PATTERNS patterns, in two sorted arrays."""
 
+    def __init__(self, patterns: DataFrame):
+        rows = sorted((p, KINDS.index(k)) for p, k in patterns.toLocalIterator())
+        self.patterns, self.kinds = np.array([p for p, _ in rows], np.int64), np.array([k for _, k in rows], np.int8)
 
-def discovered(text: str, spans: list[tuple[str, int, int]], known: dict[int, str]) -> list[tuple[str, int, int]]:
+    def get(self, pattern: int) -> str | None:
+        at = int(np.searchsorted(self.patterns, pattern))
+        return KINDS[self.kinds[at]] if at < len(self.patterns) and self.patterns[at] == pattern else None
+
+
+def discovered(text: str, spans: list[tuple[str, int, int]], known) -> list[tuple[str, int, int]]:
     """Spans of unseen strings that known patterns surround."""
     out = []
     for a, b in candidates(text, spans):
@@ -364,49 +364,70 @@ def discovered(text: str, spans: list[tuple[str, int, int]], known: dict[int, st
     return out
 
 
+def _text_keys(text: Column) -> list[Column]:
+    """128 bits of a text, under which equal texts share what is found in them."""
+    return [F.xxhash64(text), F.xxhash64(text, F.lit(1))]
+
+
+def _discovered_by_join(texts: DataFrame, sure: DataFrame) -> DataFrame:
+    """(k1, k2, found): what accepted patterns discover in each text, by a join of the candidates' patterns with them."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(_bitmap(sure.select("pattern")))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for k1, k2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for a, b in candidates(text, base_spans(text)):
+                    kinds = [k for k in KINDS if _like(k, text[a:b])]
+                    rows += [(k1, k2, a, b, i, p, kinds) for i, p in enumerate(around(text, a, b)) if kinds and _marked(p, bitmap.value)]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+            labels = ["k1", "k2", "start", "end", "at", "pattern", "kinds"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], labels)
+
+    keyed = texts.select(*[k.alias(f"k{i}") for i, k in enumerate(_text_keys(F.col("text")), 1)], "text")
+    met = keyed.mapInArrow(trimmed(run), "k1 long, k2 long, start int, end int, at int, pattern long, kinds array<string>")
+    met = met.distinct().join(sure, "pattern").where("array_contains(kinds, kind)")
+    one = met.groupBy("k1", "k2", "start", "end").agg(F.min_by("kind", "at").alias("kind"))
+    # the spans of one text, which are one value in the result
+    return one.groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
+
+
 def _rows(spans: list[tuple[str, int, int]], source: str) -> list[dict]:
     return [{"kind": k, "start": a, "end": b, "source": source} for k, a, b in spans]
 
 
 def _annotated(docs: DataFrame, text_col: str, support: int, finish, schema) -> DataFrame:
-    """Batches of the documents with their spans, by kind and start, as ``finish(batch, spans)`` makes them.
+    """Batches of the documents with their spans, by kind and start, as ``finish(batch, spans)`` makes them."""
+    scratch = Scratch(docs.sparkSession, "found")
+    whole = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(whole.alias("text"))
+    sure = scratch.table(_surest(score_patterns(texts, support=support).where(F.col("confidence") >= CONFIDENCE)), "sure")
+    at, order = docs.columns.index(text_col), {k: i for i, k in enumerate(KINDS)}
+    few = sure.count() <= PATTERNS
+    known = docs.sparkSession.sparkContext.broadcast(Known(sure)) if few else None
+    joined = docs
+    if not few:
+        k1, k2, held = fresh(docs, "k1", "k2", "held")
+        found = _discovered_by_join(texts, sure).toDF(k1, k2, held)
+        own = fresh(docs.withColumns({c: F.lit(0) for c in (k1, k2, held)}), "own1", "own2")
+        keyed = docs.withColumns(dict(zip(own, _text_keys(whole), strict=True)))
+        same = (F.col(own[0]) == F.col(k1)) & (F.col(own[1]) == F.col(k2))
+        joined = keyed.join(scratch.table(found, "discovered"), same, "left").select(*docs.columns, held)
 
-    The rules, the first dictionary of patterns and ``finish`` run in one pass; further dictionaries have passes between.
-    """
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dictionaries = list(_passes(score_patterns(texts, support=support).where(F.col("confidence") >= CONFIDENCE)))
-    at = docs.columns.index(text_col)
-    order = {k: i for i, k in enumerate(KINDS)}
-    (name,) = fresh(docs, "held")
-    between = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"{name} {SPANS}").fields])
-    last = max(1, len(dictionaries)) - 1
-
-    def step(i: int, known):
-        def run(batches):
-            for batch in batches:
-                texts = [t.as_py() or "" for t in batch.column(at)]
-                if i == 0:
-                    held = [_rows(base_spans(t), "base") for t in texts]
-                else:
-                    held = batch.column(batch.num_columns - 1).to_pylist()
-                    batch = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
-                if known is not None:
-                    for t, spans in zip(texts, held, strict=True):
-                        taken = [(s["kind"], s["start"], s["end"]) for s in spans]
-                        spans += _rows(discovered(t, taken, known.value), "pattern")
-                        spans.sort(key=lambda s: (order[s["kind"]], s["start"]))
-                if i == last:
-                    yield finish(batch, held)
-                else:
-                    names = [*batch.schema.names, name]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held, pa.list_(_SPAN))], names)
-
-        return run
-
-    out = docs
-    for i, known in enumerate(dictionaries or [None]):
-        out = out.mapInArrow(trimmed(step(i, known)), schema if i == last else between)
-    return out
+    def run(batches):
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(at)]
+            spans = [base_spans(t) for t in texts]
+            if few:
+                more = [discovered(t, s, known.value) for t, s in zip(texts, spans, strict=True)]
+            else:
+                more = [[(x["kind"], x["start"], x["end"]) for x in found or []] for found in batch.column(batch.num_columns - 1).to_pylist()]
+                batch = pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1])
+            rows = [_rows(s, "base") + _rows(m, "pattern") for s, m in zip(spans, more, strict=True)]
+            yield finish(batch, [sorted(r, key=lambda s: (order[s["kind"]], s["start"])) for r in rows])
+
+    return joined.mapInArrow(trimmed(run), schema)
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT) -> DataFrame:
