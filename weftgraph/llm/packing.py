@@ -30,6 +30,8 @@ from weftgraph.llm.common import Scratch, trimmed
 
 END = 2
 CAPACITY = 1024
+#: Counts by task and length that are broadcast (about 40 bytes each), those of about 1,000 tasks; beyond, the join shuffles.
+BROADCAST_COUNTS = 1_000_000
 #: Fixed value: how byte-level vocabularies of this kind split texts.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: tiktoken's search keeps a state for each white-space character of a run and fails at a million of them.
@@ -231,13 +233,15 @@ def _slots(bins: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 def pack(table: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces (columns length, task and rank)."""
-    counts = table.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
+    scratch = Scratch(table.sparkSession, "ranks")
+    counts = scratch.table(table.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     slots = _slots(plan(histogram, capacity))
     before = counts.selectExpr(
         "task", "length", "sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before"
     )
-    joined = table.join(before, ["task", "length"])
+    # pieces with their ids stay where they are while there are few enough tasks
+    joined = table.join(F.broadcast(before) if counts.count() <= BROADCAST_COUNTS else before, ["task", "length"])
     kept = [c for c in table.columns if c not in ("task", "rank")]
     kinds = dict(table.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", sequence_id long, offset long"
