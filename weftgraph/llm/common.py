@@ -30,12 +30,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where the session names none."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a temporary one is set in local mode; on a cluster,
+    whose executors wouldn't see it, that is an error."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not root:
         root = context.getCheckpointDir()
         if not root:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
             root = context.getCheckpointDir()
     return root.rstrip("/")
@@ -66,14 +69,24 @@ class Scratch:
         """The folder of the latest table of that name."""
         return next(f"{self.root}/{i:03d}-{name}" for i in range(len(self._names), 0, -1) if self._names[i - 1] == name)
 
+    def unused(self, name: str) -> str:
+        """A name that no table has yet."""
+        return f"{name}{len(self._names)}"
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
+        self._delete(i for i, n in enumerate(self._names) if n in names)
+
+    def drop_older(self, name: str) -> None:
+        """Delete all tables of that name but the latest."""
+        self._delete([i for i, n in enumerate(self._names) if n == name][:-1])
+
+    def _delete(self, places) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for i, name in enumerate(self._names):
-            if name in names:
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{i + 1:03d}-{name}")
-                path.getFileSystem(conf).delete(path, True)
+        for i in places:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{i + 1:03d}-{self._names[i]}")
+            path.getFileSystem(conf).delete(path, True)
 
 
 def release() -> None:

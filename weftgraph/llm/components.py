@@ -33,7 +33,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(scratch: Scratch, links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that has a link to another one; root is the smallest node reachable."""
-    edges = scratch.table(_oriented(links, a, b), "edges")
+    name = scratch.unused("edges")
+    edges = scratch.table(_oriented(links, a, b), name)
     before = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -43,4 +44,5 @@ def connected_components(scratch: Scratch, links: DataFrame, a: str, b: str) ->
             )
         before = state
         stars = _oriented(_large_star(edges), "a", "b")
-        edges = scratch.table(_oriented(_small_star(stars), "a", "b"), "edges")
+        edges = scratch.table(_oriented(_small_star(stars), "a", "b"), name)
+        scratch.drop_older(name)

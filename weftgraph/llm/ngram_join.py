@@ -452,7 +452,9 @@ def _compare(scratch: Scratch, docs: DataFrame, tiles: DataFrame, percent: int,
     """(a, b): links found in the tiles, as many as connect what links there connect."""
     wanted = scratch.table(tiles.select("key", "root", "side", "tiles", "one.print", "one.id"), "tiles")
     sets = _sets(docs, wanted, **names)
-    return scratch.table(sets.groupBy("tile").applyInArrow(_linked(percent), "a binary, b binary"), "links")
+    links = scratch.table(sets.groupBy("tile").applyInArrow(_linked(percent), "a binary, b binary"), "links")
+    scratch.drop("tiles")
+    return links
 
 
 def link(
@@ -484,7 +486,9 @@ def link(
     candidates = _meetings(lookups)
     roots = connected_components(scratch, candidates, "short", "hub").select(F.col("node").alias("short"), "root")
     comps = scratch.table(roots.join(classes, "short").drop("short"), "candidates")
+    scratch.drop("lookups")
     chunks = _chunks(scratch, comps, percent)
+    scratch.drop("candidates")
     links = _compare(scratch, docs, _own_tiles(chunks), percent, **names)
     linked = connected_components(scratch, links, "a", "b")
     more = _cross_tiles(scratch, chunks, linked)
