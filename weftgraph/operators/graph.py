@@ -60,7 +60,7 @@ def cut(frame: DataFrame) -> DataFrame:
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
         root = context.getConf().get("spark.checkpoint.dir")
-        if not root and not context.master.startswith("local"):
+        if not root and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(root or tempfile.mkdtemp(prefix="weftgraph-"))
     return frame.checkpoint()
