@@ -4,8 +4,8 @@ A text becomes one string with U+2581 for spaces and one in front. Symbols are i
 adjacent pairs that form a piece, best score first, then leftmost; the best pair merges until none is left. What is no
 piece at the end becomes byte pieces. No piece holds U+2581 after another character (checked at load), so merges never
 cross from a word into the next one: words are merged one by one and their ids kept. In each Arrow batch every whole text is
-encoded, and its ids decoded, by the sentencepiece library too; where the two differ, the library's ids and text are
-returned and ``agrees`` is false. It is false too for texts with a word that the two merge differently by itself.
+encoded by the sentencepiece library too; where the two differ, the library's ids are returned and ``agrees`` is false. Ids are
+decoded by the library.
 
 Defined results: null text counts as empty; an empty text is the begin and end ids alone; null or repeated identifiers
 give a row each; an empty table gives none; extra columns are ignored.
@@ -28,8 +28,8 @@ from weftgraph.llm.common import prepare, trimmed
 from weftgraph.llm.packing import slices
 
 SPACE = "▁"
-#: A worker keeps the ids of so many words.
-CACHED_WORDS = 400_000
+#: A worker keeps the ids of so many words, of so many characters.
+CACHED_WORDS, CACHED_CHARS = 400_000, 8_000_000
 #: Words of up to so many characters are merged side by side, so many at a time.
 SHORT, SIDE_BY_SIDE = 32, 8192
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -51,9 +51,7 @@ class PieceModel:
         self.byte_ids = {int(pieces[i][3:5], 16): i for i in range(size) if p.is_byte(i)}
         if len(self.byte_ids) != 256 or any(SPACE in piece.lstrip(SPACE) for piece in self.ids):
             raise ValueError("only vocabularies with byte pieces and word-initial spaces are supported")
-        self.surface = [b"" if i in special else piece.replace(SPACE, " ").encode() for i, piece in enumerate(pieces)]
-        for b, i in self.byte_ids.items():
-            self.surface[i] = bytes([b])
+        self.size = size
         self.char_ids = np.full(0x110000, -1, np.int32)
         parts: dict[int, tuple[float, int]] = {}
         for piece, i in self.ids.items():
@@ -70,7 +68,7 @@ class PieceModel:
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise OSError("packed ids need a little-endian machine with 32-bit integers")
         self.words: dict[str, bytes] = {}
-        self.odd: set[str] = set()
+        self.chars = 0
 
     def merge_many(self, words: list[str]) -> list[bytes]:
         """Packed ids of words. Short ones merge side by side, each round the best pair of each word's agenda."""
@@ -97,7 +95,7 @@ class PieceModel:
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cost and id of the pieces that pairs of ids form; infinite where they form none."""
-        key = left.astype(np.int64) * len(self.surface) + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         known = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(known, self.pair_costs[at], np.inf), np.where(known, self.pair_ids[at], -1)
@@ -170,50 +168,37 @@ class PieceModel:
                     heapq.heappush(agenda, (c, previous, left, joined))
         return [s for s in symbols if s]
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids without begin and end, as little-endian unsigned 32-bit integers, and whether the library agrees."""
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, as they are cached: without the space in front, if it is one, else as they stand."""
+        if not text:
+            return []
+        if text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
+            return text.split(" ")
+        words = WORDS.findall(SPACE + text.replace(" ", SPACE))
+        return [w[1:] if len(w) > 1 and w[1] != SPACE else w for w in words]
+
+    def encode(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+        """Ids without begin and end, and whether merging and the library agree on them; where they don't, the library's."""
         known = self.words
-        if len(known) > CACHED_WORDS:
+        if len(known) > CACHED_WORDS or self.chars > CACHED_CHARS:
             known.clear()
-            self.odd.clear()
-        split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+            self.chars = 0
+        split = [self._split(t) for t in texts]
         new = list({w for words in split for w in words if w not in known})
         if new:
-            merged = self.merge_many(new)
-            # the library puts one space in front itself
-            theirs = self.library.encode([w[1:].replace(SPACE, " ") for w in new], num_threads=1)
-            # an empty text has no space in front, so that a space alone is nothing that it can be asked for
-            differ = (a != array("I", b).tobytes() for a, b in zip(merged, theirs, strict=True))
-            self.odd.update(w for w, d in zip(new, differ, strict=True) if d and w != SPACE)
-            known.update(zip(new, merged, strict=True))
-        get, odd = known.__getitem__, self.odd
-        out = []
-        for words, theirs in zip(split, self.library.encode(texts, num_threads=1), strict=True):
-            ids = array("I", theirs).tobytes()
-            out.append((ids, b"".join(map(get, words)) == ids and odd.isdisjoint(words)))
-        return out
+            self.chars += sum(map(len, new))
+            known.update(zip(new, self.merge_many([w if w[0] == SPACE else SPACE + w for w in new]), strict=True))
+        get = known.__getitem__
+        theirs = self.library.encode(texts, num_threads=1)
+        return [(ids, b"".join(map(get, words)) == array("I", ids).tobytes()) for words, ids in zip(split, theirs, strict=True)]
 
     def coded(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
-        """Ids with begin and end, their text, and whether the library agrees to both."""
-        begin, end = (array("I", [i]).tobytes() for i in (self.begin, self.end))
-        found = [(begin + ids + end, agrees) for ids, agrees in self.encode(texts)]
-        every = [array("I", packed) for packed, _ in found]
-        decoded = self.library.decode([ids.tolist() for ids in every], num_threads=1)
-        return [
-            (packed, text, agrees and self.decode(ids) == text)
-            for (packed, agrees), ids, text in zip(found, every, decoded, strict=True)
-        ]
-
-    def decode(self, ids) -> str:
-        """The text of ids; control ids have none, the space in front is dropped."""
-        whole = b"".join(map(self.surface.__getitem__, ids))
-        first = next((i for i in ids if i not in (self.begin, self.end)), None)
-        if first is not None and self.surface[first][:1] == b" ":
-            whole = whole[1:]
-        try:
-            return whole.decode()
-        except UnicodeDecodeError:  # ids that no text has
-            return self.library.decode(list(ids))
+        """Packed ids with begin and end, their text as the library decodes it, and whether merging and the library agree."""
+        out = []
+        for ids, agrees in self.encode(texts):
+            framed = [self.begin, *ids, self.end]
+            out.append((array("I", framed).tobytes(), self.library.decode(framed), agrees))
+        return out
 
 
 _MODELS: dict[str, PieceModel] = {}
