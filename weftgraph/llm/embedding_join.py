@@ -1,14 +1,14 @@
 """Near-duplicate vectors by a subspace pigeonhole join.
 
-Unit vectors with cosine >= c lie within a squared distance of 2 - 2c. The vectors are rotated onto the axes of their
-second moments and split into blocks; each block gets a share of the squared distance in proportion to its share of the
+Unit vectors with cosine >= c lie within a squared distance of 2 - 2c. The vectors are rotated onto the axes of the second
+moments of a sample and split into blocks; each block gets a share of the squared distance in proportion to its share of the
 variance. A pair within the whole distance is within its budget in at least one block, so the union of the blocks' range
 joins holds every link. A block's range join cuts the space into the cells of a k-d tree: a vector visits the cells whose
 region is within its budget, and the pairs of two cells meet in one tile. Candidates are verified by their cosine in
 double precision; a link counts in the first block whose budget holds it.
 
-The tree is fitted on a sample of at most SAMPLE vectors and every vector is dealt by it, so the sample changes the cells'
-sizes and never the result. Cells larger than CELL are dealt in salted parts. Equal vectors are joined as one.
+Rotation, budgets and trees are fitted on a sample of at most SAMPLE vectors and every vector is dealt by them; any rotation
+and any shares of the distance are right, so the sample changes the cells' sizes and never the result. Cells larger than CELL are dealt in salted parts. Equal vectors are joined as one.
 
 Defined results: a vector that is null, empty or zero, or that holds null or non-finite components, links with nothing;
 vectors link with those of their own length only; rows with one identifier are rows like any others; null identifiers
@@ -31,8 +31,10 @@ COSINE = 0.9
 AXES = 16
 #: Vectors of a part of a cell; a tile holds two parts.
 CELL = 16_384
-#: Bound of the sample on which a tree is fitted.
-SAMPLE = 20_000
+#: Bounds of the sample on which the rotation and the trees are fitted: vectors, and bytes of them.
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
+#: What names a tile: its block, and its two cells with their parts.
+TILE = ("block", "cell", "cell_part", "other", "other_part")
 #: Blocks with less than this share of the variance get no budget.
 LEAST_SHARE = 1e-4
 #: Beyond rounding of the 32-bit products that choose candidates, and of the rotation.
@@ -70,24 +72,6 @@ def _rotate(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _moments(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Second moments of all unit vectors; each task adds up its own before the shuffle."""
-
-    def run(batches):
-        total = np.zeros((dim, dim))
-        for batch in batches:
-            if batch.num_rows:
-                u = _unit(_matrix(batch.column(0)))
-                total += u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["at", "value"])
-
-    sums = vectors.select("vector").mapInArrow(trimmed(run), "at long, value double").groupBy("at").agg(F.sum("value"))
-    out = np.zeros(dim * dim)
-    for at, value in sums.collect():
-        out[at] = value
-    return out.reshape(dim, dim)
-
-
 class Tree:
     """A k-d tree over one block: inner nodes split an axis at a value; leaves are numbered."""
 
@@ -137,8 +121,9 @@ class Tree:
 class Plan:
     """The rotation, the blocks with their budgets, and their trees."""
 
-    def __init__(self, moments: np.ndarray, cosine: float, axes_per_block: int):
-        variance, axes = np.linalg.eigh(moments)
+    def __init__(self, sample: np.ndarray, cosine: float, axes_per_block: int):
+        unit = _unit(sample)
+        variance, axes = np.linalg.eigh(unit.T @ unit)
         order = np.argsort(-variance)
         self.axes, variance = np.ascontiguousarray(axes[:, order]), np.maximum(variance[order], 0)
         dim = len(variance)
@@ -149,11 +134,13 @@ class Plan:
         self.blocks = [b for b, k in zip(blocks, kept, strict=True) if k]
         self.budgets = (2 - 2 * cosine + TIGHT) * share[kept] / share[kept].sum()
         self.trees: list[Tree] = []
-        self.parts: dict[tuple[int, int], int] = {}
+        #: By block and cell, the number of salted parts.
+        self.parts: list[np.ndarray] = []
 
     def grow(self, sample: np.ndarray, leaves: int) -> None:
         rotated = _rotate(_unit(sample), self.axes)
         self.trees = [Tree(rotated[:, b.start : b.stop], leaves) for b in self.blocks]
+        self.parts = [np.ones(tree.leaves + 1, np.int64) for tree in self.trees]
 
     def own(self, vectors: np.ndarray):
         """(block, leaf of each vector)."""
@@ -165,23 +152,22 @@ class Plan:
             yield i, leaf
 
     def tiles(self, vectors: np.ndarray, salts: np.ndarray):
-        """(row, tile, part) of all tiles that each vector goes to."""
+        """Arrays (row, block, cell, part, other cell, other part, side) of all tiles that the vectors go to.
+
+        The lesser of a tile's two parts comes first; ``side`` tells which of them a row belongs to.
+        """
         rotated = _rotate(_unit(vectors), self.axes)
-        leaves = dict(self.own(vectors))
-        for i, b in enumerate(self.blocks):
-            leaf = leaves[i]
-            for rows, other, own in self.trees[i].near(rotated[:, b.start : b.stop], self.budgets[i] * (1 + TIGHT) + TIGHT):
-                for row in rows.tolist():
-                    mine = int(leaf[row])
-                    salt = int(salts[row] % self.parts.get((i, mine), 1))
-                    if mine == other:
-                        for t in range(self.parts.get((i, mine), 1)):
-                            a, z = sorted((salt, t))
-                            yield row, f"{i}:{mine}:{a}:{mine}:{z}", f"{mine}:{salt}"
-                    else:
-                        for t in range(self.parts.get((i, other), 1)):
-                            (c, a), (d, z) = sorted(((mine, salt), (other, t)))
-                            yield row, f"{i}:{c}:{a}:{d}:{z}", f"{mine}:{salt}"
+        for i, (b, (_, leaf)) in enumerate(zip(self.blocks, self.own(vectors), strict=True)):
+            parts = self.parts[i]
+            salt = salts % parts[leaf]
+            for rows, other, _ in self.trees[i].near(rotated[:, b.start : b.stop], self.budgets[i] * (1 + TIGHT) + TIGHT):
+                mine, own = leaf[rows], salt[rows]
+                for part in range(int(parts[other])):
+                    second = (mine > other) | ((mine == other) & (own > part))
+                    yield (
+                        rows, np.full(len(rows), i), np.where(second, other, mine), np.where(second, part, own),
+                        np.where(second, mine, other), np.where(second, own, part), second,
+                    )
 
 
 def _connect(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -198,13 +184,13 @@ def _connect(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _join(plan: Plan, cosine: float):
     def run(table: pa.Table) -> pa.Table:
-        number, *ends = map(int, table.column("tile")[0].as_py().split(":"))
-        block, across = number, ends[:2] != ends[2:]
+        block, *ends = (table.column(c)[0].as_py() for c in TILE)
+        across = ends[:2] != ends[2:]
         keys = table.column("key").to_pylist()
         x = _matrix(table.column("vector"))
         weight = table.column("weight").to_numpy()
         # a tile of two parts compares one with the other, even if only one of them has rows here
-        part = np.array([across and p != f"{ends[0]}:{ends[1]}" for p in table.column("part").to_pylist()])
+        part = table.column("side").to_numpy().astype(bool)
         order = np.argsort(part, kind="stable")
         x, weight, part, keys = x[order], weight[order], part[order], [keys[i] for i in order]
         m, split = len(x), int((~part).sum())
@@ -266,13 +252,14 @@ def _join(plan: Plan, cosine: float):
 
 def _links(scratch: Scratch, vectors: DataFrame, dim: int, count: int, cosine: float, axes: int, cell: int) -> DataFrame:
     """(key, links, root): parts of the number of links of each vector, and a vector that it is connected with."""
-    plan = Plan(_moments(vectors, dim), cosine, axes)
     leaves = 1
     while leaves * cell < count:
         leaves *= 2
-    chosen = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(SAMPLE / count * (1 << 20))).limit(SAMPLE)
-    sample = np.array([r[0] for r in chosen.select("vector").collect()] if leaves > 1 else [], np.float64)
-    plan.grow(sample.reshape(-1, dim) if len(sample) else np.ones((1, dim)), leaves)
+    rows = min(SAMPLE, max(64, SAMPLE_BYTES // (8 * dim)))
+    chosen = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) <= F.lit(int(rows / count * (1 << 20)))).limit(rows)
+    sample = np.array([r[0] for r in chosen.select("vector").collect()], np.float64).reshape(-1, dim)
+    plan = Plan(sample if len(sample) else np.ones((1, dim)), cosine, axes)
+    plan.grow(sample if len(sample) else np.ones((1, dim)), leaves)
 
     def own(batches):
         for batch in batches:
@@ -283,23 +270,23 @@ def _links(scratch: Scratch, vectors: DataFrame, dim: int, count: int, cosine: f
                     yield pa.RecordBatch.from_arrays(arrays, ["block", "leaf", "n"])
 
     sizes = vectors.select("vector").mapInArrow(trimmed(own), "block int, leaf long, n long")
-    for block, leaf, n in sizes.groupBy("block", "leaf").agg(F.sum("n")).collect():
-        plan.parts[block, leaf] = -(-n // cell)
+    for block, leaf, n in sizes.groupBy("block", "leaf").agg(F.sum("n")).collect():  # a row for each cell
+        plan.parts[block][leaf] = -(-n // cell)
 
     def deal(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
-                found = list(plan.tiles(_matrix(some.column(1)), some.column(3).to_numpy()))
-                rows = pa.array([r for r, _, _ in found], pa.int64())
-                arrays = [some.column(i).take(rows) for i in range(3)]
-                arrays += [pa.array([t for _, t, _ in found]), pa.array([p for _, _, p in found])]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "vector", "weight", "tile", "part"])
+                for rows, *tile, side in plan.tiles(_matrix(some.column(1)), some.column(3).to_numpy()):
+                    arrays = [some.column(i).take(pa.array(rows)) for i in range(3)]
+                    arrays += [pa.array(x, pa.int32()) for x in tile] + [pa.array(side)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "vector", "weight", *TILE, "side"])
 
     salted = vectors.select("key", "vector", "weight", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30)).alias("salt"))
     element = vectors.schema["vector"].dataType.simpleString()
-    dealt = salted.mapInArrow(trimmed(deal), f"key binary, vector {element}, weight long, tile string, part string")
-    return dealt.groupBy("tile").applyInArrow(_join(plan, cosine), "key binary, links long, root binary")
+    tiled = ", ".join(f"{c} int" for c in TILE)
+    dealt = salted.mapInArrow(trimmed(deal), f"key binary, vector {element}, weight long, {tiled}, side boolean")
+    return dealt.groupBy(*TILE).applyInArrow(_join(plan, cosine), "key binary, links long, root binary")
 
 
 def link(
