@@ -194,3 +194,18 @@ def test_search(spark, golden):
     assert (hits["hits"], hits["score"]) == (2, pytest.approx(2 / 3))
     accept = lambda q, n, s, z: spark.range(1).select(search.accepts(F.lit(q), F.lit(n), F.lit(s), F.lit(z).cast("double"))).first()[0]
     assert accept("gpt 4", "GPT-4", 0.8, None) and not accept("gpt 4", "GPT-4", 0.8, 0.79) and not accept("claude", "GPT-4", 0.99, None)
+
+
+def test_large_frontiers_are_joined_by_shuffling(spark, golden, monkeypatch):
+    seeds = spark.createDataFrame([("GPT-4",), ("Claude-3",)], "id string")
+
+    def walked():
+        return (
+            {tuple(r) for r in traverse.distances(golden.relationships, seeds, 3).collect()},
+            {tuple(r) for r in traverse.neighbors(golden, seeds, 2, limit=None).drop("labels").collect()},
+            traverse.shortest_path(golden, "GPT-3.5", "MMLU"),
+        )
+
+    before = walked()
+    monkeypatch.setattr(traverse, "BROADCAST_FRONTIER", 0)
+    assert walked() == before and before[2] is not None
