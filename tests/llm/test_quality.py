@@ -74,3 +74,72 @@ def test_edge_rows(spark):
     kept = quality.keep(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r["score"] >= 0.5 for r in scores)
     assert quality.score(docs.limit(0), model).count() == 0 and quality.keep(docs.limit(0), model).count() == 0
+
+
+def plain_tree(g, h, depth):
+    """A tree over ordered bins, every cut tried."""
+    best, at = sum(g) ** 2 / (sum(h) + 1) + 1e-9, 0
+    for i in range(1, len(g)) if depth else ():
+        gain = sum(g[:i]) ** 2 / (sum(h[:i]) + 1) + sum(g[i:]) ** 2 / (sum(h[i:]) + 1)
+        if gain > best + 1e-12:
+            best, at = gain, i
+    if not at:
+        return [sum(g) / (sum(h) + 1)] * len(g)
+    return plain_tree(g[:at], h[:at], depth - 1) + plain_tree(g[at:], h[at:], depth - 1)
+
+
+def plain_quadrants(g, h):
+    """A table of two measures cut into four, every cut tried: values by cell, and the gain."""
+    rows, cols = len(g), len(g[0])
+    total = lambda t, r, c: sum(t[i][j] for i in r for j in c)
+    best, out = 0.0, None
+    for i in range(1, rows):
+        for j in range(1, cols):
+            parts = [(r, c) for r in (range(i), range(i, rows)) for c in (range(j), range(j, cols))]
+            gain = sum(total(g, r, c) ** 2 / (total(h, r, c) + 1) for r, c in parts)
+            if gain > best + 1e-12:
+                best, out = gain, {(x, y): total(g, r, c) / (total(h, r, c) + 1) for r, c in parts for x in r for y in c}
+    every = range(rows), range(cols)
+    return out, best - total(g, *every) ** 2 / (total(h, *every) + 1)
+
+
+def plain_scores(x, y):
+    """Cyclic boosting row by row: single measures in turn, then the pairs that explain most of the rest."""
+    n, d = x.shape
+    cut = lambda j, bins: sorted({float(np.quantile(x[:, j], q)) for q in np.linspace(0, 1, bins + 1)[1:-1]})
+    bins = [[sum(c <= v for c in cut(j, quality.BINS)) for v in x[:, j]] for j in range(d)]
+    coarse = [[sum(c <= v for c in cut(j, quality.PAIR_BINS)) for v in x[:, j]] for j in range(d)]
+    margin = [float(np.log(y.mean() / (1 - y.mean())))] * n
+
+    def slopes():
+        p = [1 / (1 + np.exp(-m)) for m in margin]
+        return [y[i] - p[i] for i in range(n)], [p[i] * (1 - p[i]) for i in range(n)]
+
+    for _ in range(quality.ROUNDS):
+        for j in range(d):
+            size = len(cut(j, quality.BINS)) + 1
+            g, h = ([sum(w[i] for i in range(n) if bins[j][i] == b) for b in range(size)] for w in slopes())
+            tree = plain_tree(g, h, 2)
+            margin = [m + quality.STEP * tree[b] for m, b in zip(margin, bins[j], strict=True)]
+
+    def grids(a, b):
+        r, c = (range(len(cut(k, quality.PAIR_BINS)) + 1) for k in (a, b))
+        return [[[sum(w[i] for i in range(n) if coarse[a][i] == u and coarse[b][i] == v) for v in c] for u in r] for w in slopes()]
+
+    gains = {(a, b): plain_quadrants(*grids(a, b))[1] for a in range(d) for b in range(a + 1, d)}
+    for _ in range(quality.PAIR_ROUNDS):
+        for a, b in sorted(gains, key=lambda k: (-gains[k], k))[: quality.PAIRS]:
+            values = plain_quadrants(*grids(a, b))[0]
+            margin = [m + quality.STEP * values[u, v] for m, u, v in zip(margin, coarse[a], coarse[b], strict=True)]
+    return [1 / (1 + np.exp(-m)) for m in margin]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_boosting_is_that_of_plain_python(monkeypatch, seed):
+    for name, value in (("BINS", 7), ("PAIR_BINS", 4), ("ROUNDS", 6), ("PAIR_ROUNDS", 4), ("PAIRS", 2)):
+        monkeypatch.setattr(quality, name, value)
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(70, 4)), 1)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=70) * 0.5) > 0).astype(float)
+    model = quality.fit(x, y)
+    assert len(model.pairs) == 2 and np.allclose(model.scores(x), plain_scores(x, y), atol=1e-9)

@@ -69,6 +69,20 @@ def test_clashing_names(spark, world):
     assert (row["pattern"], row["verdict"], row["rule"]) == ("k", "block", "a.com")
 
 
+def test_moments_of_a_day(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    log = [("a.com", "block", at(3)), ("a.com", "remove", at(9)), ("[::1]", "block", at(5)), ("1]", "block", at(1))]
+    captures = [(i, u, at(h)) for i, (u, h) in enumerate(
+        [("http://a.com/", 2), ("http://a.com/", 3), ("http://a.com/x", 8), ("http://a.com/", 9), ("http://[::1]:80/p", 6), ("http://u@[::1]/", 4)]
+    )]
+    found = url_lists.judge(
+        spark.createDataFrame(captures, "page_id long, url string, day timestamp"), spark.createDataFrame(log, "pattern string, action string, day timestamp")
+    )
+    verdicts = {r["page_id"]: (r["verdict"], r["rule"]) for r in found.collect()}
+    none = ("none", None)
+    assert [verdicts[i] for i in range(6)] == [none, ("block", "a.com"), ("block", "a.com"), none, ("block", "[::1]"), none]
+
+
 def test_empty_tables(spark):
     frame = spark.createDataFrame([(1, "http://a.com/", DAY)], "page_id long, url string, day date")
     entries = spark.createDataFrame([("a.com", "block", DAY)], "pattern string, action string, day date")

@@ -4,7 +4,8 @@ A list is a log of entries (pattern, action, day): an entry holds from its day u
 log becomes validity intervals. A capture asks for its host, each parent domain and each folder of its path; an as-of join
 on the pattern finds the entries active on the day of the capture. The longest active pattern decides.
 
-Patterns are "example.com" (that host and its subdomains) or "example.com/a/" (URLs of that host below that folder).
+Patterns are "example.com" (that host and its subdomains) or "example.com/a/" (URLs of that host below that folder); an IPv6
+host, "[::1]", has no parents. Days may be dates or, for finer intervals, timestamps, of the same type on both sides.
 Actions are allow, block and remove (which ends the pattern's entry).
 
 Defined results: of entries of one pattern and day the last in the order allow, block, remove holds; entries with a null
@@ -23,7 +24,7 @@ from weftgraph.llm.common import UPPER, fresh
 #: The intervals are sent to all executors only up to this many (about 100 bytes each); beyond, the join shuffles.
 BROADCAST_INTERVALS = 100_000
 
-URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)"
+URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)(?::[0-9]*)?([^?#]*)"
 
 
 def host(url: Column) -> Column:
@@ -36,9 +37,8 @@ def keys(url: Column) -> Column:
     """All patterns that a URL can match: its host, the parent domains, and the folders of its path."""
     name, path = host(url), F.regexp_extract(F.coalesce(url, F.lit("")), URL, 2)
     labels = F.split(name, r"\.")
-    domains = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+    domains = F.when(name.startswith("["), F.array(name)).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     )
     parts = F.split(path, "/")
     folders = F.when(
