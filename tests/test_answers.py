@@ -145,3 +145,35 @@ def test_the_hybrid_query_asks_the_whole_text(spark, monkeypatch):
     })
     catalog.hybrid_query(spark, SF)
     assert asked == [whole] and len(whole) > 200
+
+
+def test_plain_questions_become_statements(engine):
+    assert engine.query("How many companies are known?") == [{"count": 0}] and engine.query("how many AICompany nodes?") == [{"count": 3}]
+    assert engine.query("How many relationships are there?") == [{"count": 12}]
+    assert {r["id"] for r in engine.query("What is connected to microsoft?")} == {"OpenAI"}
+    assert {r["id"] for r in engine.query("Who developed GPT-4?")} == {"OpenAI"}
+    assert {r["id"] for r in engine.query("What was evaluated on MMLU?")} == {"GPT-4"}
+    assert {r["id"] for r in engine.query("Show all techniques")} == {"RLHF"}
+    assert engine.query("What is RLHF?")[0]["description"].startswith("RLHF is a Technique")
+    assert engine.query("Which is the most connected?")[0]["id"] == "GPT-4"
+    assert "error" in engine.query("Hello there")[0]
+
+
+def test_an_agent_with_a_model(engine):
+    said = []
+
+    def model(prompt):
+        said.append(prompt)
+        if len(said) == 1:
+            return '{"tool": "find_connections", "arguments": ["GPT-4", "Microsoft"]}'
+        if len(said) == 2:
+            return [{"text": '```json\n{"tool": "get_entity_context", "arguments": []}\n```'}]
+        return '{"answer": "By OpenAI."}'
+
+    found = Agent(engine, model).ask("How are GPT-4 and Microsoft connected?")
+    assert found["answer"] == "By OpenAI." and [t["tool"] for t in found["trace"]] == ["find_connections", "get_entity_context"]
+    assert "PARTNERED_WITH" in said[1] and "Error" in said[2] and found["status"] == "success"
+    # a model that says nothing useful, or never ends, leaves it to the router
+    for reply in ("no idea", '{"tool": "search_documents", "arguments": ["x"]}'):
+        found = Agent(engine, lambda _, reply=reply: reply).ask("How are GPT-4 and Microsoft connected?")
+        assert "PARTNERED_WITH" in found["answer"] and len(found["trace"]) == 1

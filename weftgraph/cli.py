@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     for name, arguments in {
         "ingest": ("folder",), "preview": ("folder",), "ask": ("question",), "agent": ("question",), "explore": ("name",),
         "connect": ("a", "b"), "model": ("name",), "compare": ("a", "b"), "sql": ("statement",), "status": (), "retry": (),
-        "reset": (), "stats": (), "chat": (), "clear": (),
+        "reset": (), "stats": (), "chat": (), "clear": (), "prepare": (), "query": ("question",),
     }.items():
         command = sub.add_parser(name)
         for a in arguments:
@@ -58,7 +58,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     engine = Engine(spark or SparkSession.builder.appName("weftgraph").getOrCreate(), a.store)
     run = {
-        "ingest": lambda: engine.ingest(a.folder, a.job, resume=not a.restart), "preview": lambda: engine.preview(a.folder),
+        "ingest": lambda: engine.ingest(a.folder, a.job, resume=not a.restart, on_progress=lambda line: print(line, file=sys.stderr)),
+        "prepare": engine.prepare, "query": lambda: engine.query(a.question), "preview": lambda: engine.preview(a.folder),
         "ask": lambda: engine.ask(a.question), "agent": lambda: Agent(engine).ask(a.question), "explore": lambda: engine.explore(a.name),
         "connect": lambda: engine.find_connections(a.a, a.b), "model": lambda: engine.model_info(a.name),
         "compare": lambda: engine.compare_models(a.a, a.b), "sql": lambda: engine.execute_sql(a.statement),

@@ -1,12 +1,22 @@
-"""The engine's tools as functions that return text, and a router that chooses among them without a language model."""
+"""The engine's tools as functions that return text, and what chooses among them: a language model, if one is plugged in, that
+calls tools until it answers, or else a router by the question's form."""
 
 from __future__ import annotations
 
+import inspect
+import json
 import re
+from collections.abc import Callable
 
 from weftgraph.plans.engine import Engine
+from weftgraph.plans.planner import parse_reply
 
 EXCERPT = 500
+#: Tools that a model may call for one question.
+MOST_STEPS = 8
+TOOLS = (
+    "search_vector_store", "get_entity_context", "find_connections", "search_documents", "explore_neighborhood", "multi_hop_search",
+)
 
 
 def message_text(content) -> str:
@@ -59,10 +69,39 @@ class Tools:
 
 
 class Agent:
-    """Answers by one or two tools that the question's form asks for, with a trace of them and the sources used."""
+    """Answers with a trace of the tools and the sources used.
 
-    def __init__(self, engine: Engine):
-        self.tools = Tools(engine)
+    A model gets the question, the tools with their arguments and what they said so far, and replies with JSON: {"tool": name,
+    "arguments": [...]} or {"answer": text}. A reply that is neither, or too many steps, leave the answer to the router, which
+    takes one or two tools that the question's form asks for.
+    """
+
+    def __init__(self, engine: Engine, model: Callable[[str], str] | None = None):
+        self.tools, self.model = Tools(engine), model
+
+    def _call(self, name: str, arguments: list) -> str:
+        """What a tool says; an error in a model's call is told to it."""
+        try:
+            return getattr(self.tools, name)(*arguments)
+        except Exception as e:  # noqa: BLE001  told to the model
+            return f"Error: {e}"
+
+    def _guided(self, question: str) -> tuple[str, list[tuple[str, list, str]]] | None:
+        """The model's answer and its calls; None if it gives none."""
+        offered = "\n".join(f"{n}{inspect.signature(getattr(self.tools, n))}" for n in TOOLS)
+        calls: list[tuple[str, list, str]] = []
+        for _ in range(MOST_STEPS + 1):
+            said = "\n".join(f"{n}({json.dumps(a)[1:-1]}) said: {out}" for n, a, out in calls)
+            reply = parse_reply(message_text(self.model(
+                'Answer from the tools alone. Reply with JSON: {"tool": name, "arguments": [...]} or {"answer": text}.\n'
+                f"Tools:\n{offered}\nQuestion: {question}\n{said}"
+            ))) or {}
+            if isinstance(reply.get("answer"), str):
+                return reply["answer"], calls
+            if reply.get("tool") not in TOOLS or not isinstance(reply.get("arguments"), list) or len(calls) == MOST_STEPS:
+                return None
+            calls.append((reply["tool"], reply["arguments"], self._call(reply["tool"], reply["arguments"])))
+        return None
 
     def _steps(self, question: str) -> list[tuple[str, tuple]]:
         if m := re.search(r"(?:connection between|how (?:is|are)) (.+?) (?:and|connected to|related to) (.+?)\??$", question, re.IGNORECASE):
@@ -76,13 +115,15 @@ class Agent:
         return [("search_vector_store", (question,)), ("search_documents", (question,))]
 
     def ask(self, question: str, detailed_trace: bool = False) -> dict:
-        trace, answers = [], []
+        trace, answers, final = [], [], None
         try:
-            for name, arguments in self._steps(question):
-                said = getattr(self.tools, name)(*arguments)
-                trace.append({"tool": name, "arguments": list(arguments), "output": said if detailed_trace else said[:200]})
+            guided = self._guided(question) if self.model else None
+            calls = guided[1] if guided else ((n, list(a), getattr(self.tools, n)(*a)) for n, a in self._steps(question))
+            final = guided[0] if guided else None
+            for name, arguments, said in calls:
+                trace.append({"tool": name, "arguments": arguments, "output": said if detailed_trace else said[:200]})
                 answers.append(said)
         except Exception as e:  # noqa: BLE001  told in the response
             return {"answer": f"Error: {e}", "sources": [], "trace": trace, "status": "error"}
         sources = sorted({m for a in answers for m in re.findall(r"^([^\s:]+\.(?:pdf|txt)):", a, re.MULTILINE)})
-        return {"answer": "\n\n".join(answers), "sources": sources, "trace": trace, "status": "success"}
+        return {"answer": "\n\n".join(answers) if final is None else final, "sources": sources, "trace": trace, "status": "success"}

@@ -331,14 +331,18 @@ def relationship_backfill(spark, sf_dir):
     return hit.select("src", "dst", "type", "source_file", "source_chunk", F.length("source_chunk_text").cast("long").alias("chars"), "confidence")
 
 
-@query(_with_graph("""SELECT r.type, count(*) AS n, 'unknown' AS source_file, 0.68::DOUBLE AS confidence FROM rels r
-    JOIN ents a ON a.id = r.src JOIN ents b ON b.id = r.dst GROUP BY r.type"""))
+@query(_with_graph("""SELECT r.type, coalesce(CASE WHEN a.label = 'Customer' THEN a.name END, CASE WHEN b.label = 'Customer' THEN b.name END,
+        'unknown') AS source_file, coalesce(CASE WHEN a.label = 'Supplier' THEN a.name END, CASE WHEN b.label = 'Supplier' THEN b.name END) AS source_chunk,
+        0.68::DOUBLE AS confidence, count(*) AS n FROM rels r
+    JOIN ents a ON a.id = r.src JOIN ents b ON b.id = r.dst GROUP BY ALL"""))
 def entity_edge_backfill(spark, sf_dir):
     g = star_graph.star_graph(spark, sf_dir)
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("source_file", "string"), ("source_chunk", "string"), ("confidence", "double"), ("extracted_at", "timestamp"))]
-    ents = g.entities.select("*", F.lit(None).cast("string").alias("source_document"), F.lit(None).cast("string").alias("source_chunk"))
+    of = lambda label: F.when(F.array_contains("labels", label), F.col("name"))
+    ents = g.entities.select("*", of("Customer").alias("source_document"), of("Supplier").alias("source_chunk"))
     filled = graph.backfill_entity_edges(g.with_(entities=ents, relationships=g.relationships.select("*", *blank)), F.lit("2024-01-01").cast("timestamp"))
-    return filled.where("confidence IS NOT NULL").groupBy("type", "source_file", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    hit = filled.where("confidence IS NOT NULL")
+    return hit.groupBy("type", "source_file", "source_chunk", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_with_graph("SELECT label AS labels, count(*) AS count FROM nodes GROUP BY label ORDER BY count(*) DESC, label LIMIT 15"))
@@ -347,10 +351,10 @@ def graph_label_counts(spark, sf_dir):
     return counted.select(F.array_join("labels", ",").alias("labels"), "count")
 
 
-@query(_with_graph("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM rels) AS relationships, (SELECT count(*) FROM ents) AS embedded"))
+@query(_with_graph("SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM rels) AS relationships, (SELECT count(*) FROM ents WHERE name IS NOT NULL) AS embedded"))
 def graph_stats(spark, sf_dir):
     g = star_graph.star_graph(spark, sf_dir)
-    g = g.with_(entities=g.entities.withColumn("embedding", F.array(F.lit(0.0))))
+    g = g.with_(entities=g.entities.withColumn("embedding", F.when(F.col("name").isNotNull(), F.array(F.lit(0.0)))))
     s = graph.statistics(g)
     named = [s[k].select(F.col("count").alias(k)) for k in ("nodes", "relationships", "embedded")]
     return named[0].crossJoin(named[1]).crossJoin(named[2])  # three frames of one row each

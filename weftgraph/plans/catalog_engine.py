@@ -359,3 +359,48 @@ def graph_cleared(spark, sf_dir):
     gone = store.clear(True)
     assert store.graph().nodes.isEmpty()
     return spark.createDataFrame([(gone,)], "nodes long")
+
+
+@query(_reach_sql("'S1'", 3, "SELECT dst AS src, src AS dst, type FROM rels", """, dated AS (SELECT r.id, n.name, CASE n.label WHEN 'Part' THEN 'AIModel' ELSE 'Technique' END AS labels,
+        CASE n.label WHEN 'Part' THEN lpad(p.p_size::VARCHAR, 4, '0') ELSE '1900' END AS published
+        FROM reach r JOIN ents n ON n.id = r.id LEFT JOIN part p ON 'P' || p.p_partkey = r.id WHERE r.dist > 0 AND n.label IN ('Part', 'Region'))
+    SELECT id, name, labels, published FROM dated ORDER BY published, id LIMIT 20"""))
+def lineage(spark, sf_dir):
+    """The first twenty models and techniques that lead to a supplier, by their dates, as the feature has it."""
+    g = _models(spark, sf_dir)
+    sizes = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"),
+        F.create_map(F.lit("release_date"), F.lpad(F.col("p_size").cast("string"), 4, "0")).alias("props"),
+    )
+    found = traverse.lineage(g.with_(entities=g.entities.join(sizes, "id", "left")), "S1")
+    return found.select("id", "name", F.array_join("labels", ",").alias("labels"), "published")
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS digest FROM part")
+def digest_names(spark, sf_dir):
+    name = F.when(F.col("p_size") % 2 == 0, F.upper(F.md5("p_name"))).otherwise(F.concat("p_name", F.md5("p_name")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.is_digest(name).alias("digest"))
+
+
+@query(_with_graph("""SELECT 'how many' AS question, NULL AS id, (SELECT count(*) FROM nodes WHERE label = 'Supplier') AS n
+    UNION ALL SELECT 'connected', e.dst, NULL FROM (SELECT DISTINCT e.dst, e.type FROM und e JOIN ents a ON a.id = e.src WHERE a.id = 'N7') e
+    UNION ALL SELECT 'types', type, count(*) FROM rels GROUP BY type
+    UNION ALL SELECT 'listed', id, NULL FROM nodes WHERE label = 'Region'"""))
+def plain_questions(spark, sf_dir):
+    """Questions in words, answered by statements over the views."""
+    engine = Engine(spark, graph=star_graph.star_graph(spark, sf_dir))
+    rows = [("how many", None, r["count"]) for r in engine.query("How many suppliers are there?")]
+    rows += [("connected", r["id"], None) for r in engine.query("What is connected to Nation_7?")]
+    rows += [("types", r["type"], r["count"]) for r in engine.query("How many relationships of each type?")]
+    rows += [("listed", r["id"], None) for r in engine.query("list all regions")]
+    return spark.createDataFrame(rows, "question string, id string, n long")
+
+
+@query("""SELECT 'D' || doc_id AS id, md5(text) AS digest, source FROM documents""")
+def prepared_store(spark, sf_dir):
+    """The documents of a stored graph after it was put in order."""
+    store = Store(spark, _scratch(spark, "store"))
+    g = star_graph.star_graph(spark, sf_dir)
+    store.save(g.with_(documents=g.documents.select("id", "text", "source_file")))
+    jobs.prepare(store, F.lit("2024-01-01").cast("timestamp"))
+    return store.graph().documents.select("id", F.md5("text").alias("digest"), F.col("source_file").alias("source"))

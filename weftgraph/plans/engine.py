@@ -26,6 +26,29 @@ WRITES = re.compile(
 )
 
 
+#: Words of a question that name a type of relationship.
+RELATION_WORDS = (
+    ("develop", "DEVELOPED_BY"), ("train", "TRAINED_ON"), ("fine-tun", "FINE_TUNED_FROM"), ("based on", "BASED_ON"),
+    ("evaluat", "EVALUATED_ON"), ("outperform", "OUTPERFORMS"), ("implement", "IMPLEMENTS"), ("partner", "PARTNERED_WITH"),
+    ("acquire", "ACQUIRED"), ("author", "AUTHORED"), ("create", "CREATED"), ("use", "USES_ARCHITECTURE"),
+)
+_CALLED = "lower(coalesce(name, id)) = lower(:name)"
+#: Forms of questions with statements over the views; a group is a parameter, by its place.
+TEMPLATES = (
+    (r"how many (?:relationships|edges|connections)\b.*(?:type|kind)", "SELECT type, count(*) AS count FROM relationships GROUP BY type ORDER BY count DESC, type", ()),
+    (r"how many (?:relationships|edges|connections)\b", "SELECT count(*) AS count FROM relationships", ()),
+    (r"how many (?:nodes|entities)\b", "SELECT count(*) AS count FROM nodes", ()),
+    (r"how many (\w+)", "SELECT count(*) AS count FROM nodes WHERE exists(labels, l -> lower(l) LIKE :label)", ("label",)),
+    (r"most connected", """SELECT id, count(*) AS degree FROM (SELECT src AS id FROM relationships UNION ALL SELECT dst FROM relationships)
+        GROUP BY id ORDER BY degree DESC, id LIMIT 10""", ()),
+    (r"(?:connected|related) to (.+?)\??$", f"SELECT n.id, n.type FROM nodes a, LATERAL neighbors_of(a.id) n WHERE {_CALLED.replace('name, id', 'a.name, a.id')}", ("name",)),
+    (r"(?:who|what|which \w+) (?:has |have |is |are |was |were )?(\w[\w-]*(?: on| with)?) (?:by |from )?(.+?)\??$", f"""SELECT DISTINCT o.id, coalesce(o.name, o.id) AS name, r.type
+        FROM nodes a JOIN relationships r ON r.type = :cue AND a.id IN (r.src, r.dst) JOIN nodes o ON o.id = CASE WHEN r.src = a.id THEN r.dst ELSE r.src END
+        WHERE {_CALLED.replace('name, id', 'a.name, a.id')} ORDER BY o.id""", ("cue", "name")),
+    (r"(?:list|show|which) (?:all |the |me )*(\w+)\??$", """SELECT id, coalesce(name, id) AS name FROM nodes
+        WHERE exists(labels, l -> lower(l) LIKE :label) ORDER BY id""", ("label",)),
+    (r"(?:what|who) (?:is|are|was) (.+?)\??$", f"SELECT id, name, labels, description FROM nodes WHERE {_CALLED} ORDER BY id", ("name",)),
+)
 #: Rows that reach the driver at most, of a statement or of a context.
 MOST_ROWS = 100_000
 
@@ -84,10 +107,12 @@ class Engine:
         """Lets the views of the tables see what has been committed since."""
         self.register_views()
 
-    def ingest(self, folder: str, job_id: str = "default", *, resume: bool = True) -> str:
+    def ingest(
+        self, folder: str, job_id: str = "default", *, resume: bool = True, on_progress: Callable[[str], None] = jobs.LOG.info
+    ) -> str:
         return jobs.run(
             self.store, folder, job_id, self.extractor, self.embedder, F.current_timestamp(), resume=resume,
-            settings=self.settings, reader=self.reader,
+            settings=self.settings, reader=self.reader, on_progress=on_progress,
         )
 
     def ingest_status(self, job_id: str = "default") -> dict:
@@ -291,14 +316,18 @@ class Engine:
         except Exception as e:  # noqa: BLE001  told in the row
             return [{"error": str(e)}]
 
+    def prepare(self) -> None:
+        """What a database would have indexes for: the stored tables laid out by their keys, labels and provenance put right."""
+        jobs.prepare(self.store, F.current_timestamp())
+
     def query(self, question: str) -> list[dict]:
-        """Rows for the plainest questions, by templates over the views: how many, and which are connected to."""
-        low = question.lower()
-        if match := re.search(r"how many (\w+)", low):
-            word = match[1].rstrip("s")
-            counted = "SELECT count(*) AS count FROM nodes WHERE exists(labels, l -> lower(l) LIKE :word)"
-            return self.execute_sql(counted, {"word": f"%{word}%"})
-        if match := re.search(r"(?:connected|related) to (.+?)\??$", question, re.IGNORECASE):
-            near = "SELECT n.id, n.type FROM nodes a, LATERAL neighbors_of(a.id) n WHERE lower(coalesce(a.name, a.id)) = lower(:name)"
-            return self.execute_sql(near, {"name": match[1].strip()})
+        """Rows for plain questions, by the first template over the views that fits; see TEMPLATES."""
+        for pattern, statement, names in TEMPLATES:
+            if match := re.search(pattern, question.strip(), re.IGNORECASE):
+                found = {n: f"%{g.strip().lower().rstrip('s')}%" if n == "label" else g.strip() for n, g in zip(names, match.groups(), strict=False)}
+                if "cue" in found:
+                    found["cue"] = next((t for cue, t in RELATION_WORDS if cue in found["cue"].lower()), None)
+                    if found["cue"] is None:
+                        continue
+                return self.execute_sql(statement, found)
         return [{"error": "no template fits this question"}]

@@ -190,7 +190,10 @@ def run(
         store.commit(
             {"job_files": mark(store.job_files(), rows)}, {"extracted": found.where("error IS NULL").select(*store.extracted().columns)}
         )
-        progress.finish_all([(r["chunks"], r["error"]) for r in rows.select("chunks", "error").collect()])
+        given = rows.select("chunks", "nodes", "rels", "error").collect()
+        totals = [sum(r[c] for r in given) for c in ("chunks", "nodes", "rels")]
+        LOG.info("batch %d of job %s: %d chunks, %d nodes, %d relationships", number + 1, job_id, *totals)
+        progress.finish_all([(r["chunks"], r["error"]) for r in given])
     merge(store, embedder, now, settings)
     return summary(store, job_id)
 
@@ -203,6 +206,15 @@ def merge(store: Store, embedder: Callable[[Sequence[str]], list[list[float]]],
         store.commit({**{name: getattr(graph, name) for name in GRAPH_TABLES}, "extracted": None})
 
 
+def prepare(store: Store, now: Column) -> None:
+    """Puts the whole stored graph in order: canonical labels, provenance of all relationships, tables laid out by their keys."""
+    graph = store.graph()
+    graph = graph.with_(entities=cut(canonical_labels(graph.entities)))
+    graph = graph.with_(relationships=cut(backfill_document_edges(graph, now)))
+    graph = graph.with_(relationships=cut(backfill_entity_edges(graph, now)))
+    store.commit(store.optimized(graph))
+
+
 def retry_failed(store: Store, job_id: str, *args, **options) -> str:
     """Runs a job again over its own folder; its failed files are still pending."""
     row = store.job_files().where((F.col("job_id") == job_id) & F.col("folder").isNotNull()).select("folder").first()
