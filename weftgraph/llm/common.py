@@ -11,8 +11,12 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of the batches that Python workers get, where the session doesn't say: texts are long.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+#: Rows and bytes of the batches that Python workers get, and rows that a scan reads at once, where the session doesn't say:
+#: texts are long, and 4,096 of them are arrays that a small heap grows for and keeps.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROOT = str(Path(__file__).resolve().parents[2])
 

@@ -107,7 +107,7 @@ class State:
                 "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
                 "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
                 "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-                "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+                "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "48",
                 # no preallocated files, and no store open after its task: small partitions then take little local disk
                 "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
                 "spark.sql.streaming.stateStore.unloadOnCommit": "true",

@@ -204,18 +204,20 @@ def _shared(bucket_keys: np.ndarray):
         ranges = max(1, len(low) // GATHERED + 1)
         classes, hashes, times = [], [], []
         for part in range(ranges):  # a range of hashes at a time
-            chosen = (low.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)) == part if ranges > 1 else slice(None)
+            first, last = (part << 32) // ranges, ((part + 1 << 32) // ranges) - 1
+            chosen = (low >= np.uint32(first)) & (low <= np.uint32(last)) if ranges > 1 else slice(None)
             pairs = np.unique(low[chosen].astype(np.uint64) << np.uint64(32) | of[chosen].astype(np.uint64))
             value = pairs >> np.uint64(32)
             starts = np.flatnonzero(np.diff(value, prepend=np.uint64(1 << 40)))
             runs = np.diff(starts, append=len(value))
             count = np.repeat(runs, runs)
             many = count > 1
-            classes.append((pairs[many] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            classes.append((pairs[many] & np.uint64(0xFFFFFFFF)).astype(np.int32))
             hashes.append(value[many].astype("<u4"))
             times.append(np.minimum(count[many], 0xFFFF).astype("<u2"))
+        del low, of
         cls, value, count = map(np.concatenate, (classes, hashes, times))
-        part = names % buckets
+        part = (names % buckets).astype(np.int32)
         order = np.lexsort((cls, part[cls]))
         cls, value, count = cls[order], value[order], count[order]
         rows, payloads = [], []
