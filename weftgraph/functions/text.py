@@ -167,13 +167,18 @@ def _cut_at_word(text: Column, most: int) -> Column:
 
 
 def entity_description(name, text, most: int = 200) -> Column:
-    """The first sentence that names the entity and is over 20 characters long, cut at a word if too long."""
+    """The first sentence that names the entity and is over 20 characters long, cut at a word if too long.
+
+    Only sentences that can be it are stripped, and the one that is it is bound once.
+    """
     name = blank(col(name))
-    sentences = F.transform(F.split(F.replace(blank(col(text)), F.lit("\n"), F.lit(" ")), "[.]"), strip)
-    hit = F.filter(sentences, lambda s: F.contains(F.lower(s), F.lower(name)) & (F.length(s) > 20))
-    first = F.when(F.size(hit) > 0, F.element_at(hit, 1)).otherwise(F.lit(""))
-    cut = F.when(F.length(first) > most, F.concat(_cut_at_word(first, most), F.lit("..."))).otherwise(first)
-    return F.when((name == "") | (blank(col(text)) == ""), F.lit("")).otherwise(cut)
+    sentences = F.split(F.replace(blank(col(text)), F.lit("\n"), F.lit(" ")), "[.]")
+    fits = lambda s: (F.length(s) > 20) & F.contains(F.lower(s), F.lower(name))
+    hit = F.filter(F.transform(F.filter(sentences, fits), strip), fits)
+    shown = F.transform(
+        F.slice(hit, 1, 1), lambda s: F.when(F.length(s) > most, F.concat(_cut_at_word(s, most), F.lit("..."))).otherwise(s)
+    )
+    return F.when((name == "") | (blank(col(text)) == ""), F.lit("")).otherwise(F.coalesce(F.try_element_at(shown, F.lit(1)), F.lit("")))
 
 
 def node_name(node_id, most: int = 50) -> Column:
