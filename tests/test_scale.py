@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from weftgraph.functions import text
 from weftgraph.plans import catalog_engine
 from weftgraph.sources import files
 
@@ -28,3 +29,21 @@ def test_contents_are_read_without_sorting(spark, tmp_path):
     listed = lambda **how: files.list_files(spark, str(tmp_path), recursive=True, **how)
     assert "Sort" in _plan(listed()) and "Sort" not in _plan(listed(ordered=False))
     assert listed(ordered=False).select(F.col("content").cast("string")).first()[0] == "a"
+
+
+def test_a_name_is_made_in_one_pass(spark):
+    rows = [
+        (None, "Unknown"), ("  ", "Unknown"), ("http://a/b", "External Link"), ("https://site.org/some_long-page", "some long page"),
+        (" see http://x.org now ", "see now"), ("www.x.org", "Unknown"), ("x" * 60, "x" * 50 + "..."), ("word " * 20, "word " * 9 + "word..."),
+        ("Title: " + "more " * 20, "Title"), ("One - " + "more " * 20, "One"), ("It's " + "more " * 20, ("It's " + "more " * 20).strip()),
+    ]
+    frame = spark.createDataFrame([(r[0],) for r in rows], "raw string").select("raw", text.node_name("raw").alias("name"))
+    assert [tuple(r) for r in frame.collect()] == rows
+    assert _plan(frame).count("regexp_replace") < 10  # the text was cleaned anew at each use, more than a hundred times
+
+
+def test_an_overlap_reads_its_text_once(spark):
+    frame = spark.createDataFrame([("The license is public-domain",), ("of the",), (None,), ("xlicense",)], "t string")
+    out = frame.select("t", text.token_overlap(F.lit("Which license is the public one"), "t").alias("share"), text.keyword_hits("t", F.array(F.lit("lic"), F.lit("pub"))).alias("hits"))
+    assert [(round(r["share"], 3), r["hits"]) for r in out.collect()] == [(0.667, 2), (0.0, 0), (0.0, 0), (0.0, 1)]
+    assert _plan(out.select("share")).count("lower(coalesce(t") == 1  # three times before

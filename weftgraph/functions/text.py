@@ -6,7 +6,7 @@ every engine agrees.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +41,11 @@ def blank(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def half_up(value: Column, digits: int) -> Column:
     scale = 10.0**digits
     return F.floor(value * scale + 0.5) / scale
@@ -106,18 +111,22 @@ def plain_tokens(text) -> Column:
 
 
 def _share(left: Column, right: Column) -> Column:
-    common = F.size(F.array_intersect(left, right))
-    return F.when((F.size(left) > 0) & (F.size(right) > 0), common / F.size(left)).otherwise(F.lit(0.0))
+    """Share of the left tokens, which are distinct, that are among the right words; each side is computed once."""
+    common = lambda l: F.size(F.array_intersect(l, right)) / F.size(l)  # noqa: E731, E741
+    return _bound(left, lambda l: F.when(F.size(l) > 0, common(l)).otherwise(F.lit(0.0)))  # noqa: E741
 
 
 def token_overlap(left, right) -> Column:
-    """Share of the left tokens that the right has; stopwords and short tokens don't count."""
-    return _share(overlap_tokens(left), overlap_tokens(right))
+    """Share of the left tokens that the right has; stopwords and short tokens don't count.
+
+    The left has none of them, so the right's words needn't be freed of them.
+    """
+    return _share(overlap_tokens(left), _words(col(right), "[a-z0-9]+"))
 
 
 def plain_overlap(left, right) -> Column:
     """Share of the left tokens that the right has; all tokens count."""
-    return _share(plain_tokens(left), plain_tokens(right))
+    return _share(plain_tokens(left), _words(col(right), "[a-z0-9]+"))
 
 
 def match_form(text) -> Column:
@@ -152,7 +161,7 @@ def ungrounded_answer(answer) -> Column:
 def keyword_hits(text, keywords: Column) -> Column:
     """How many of the keywords the lower-cased text contains."""
     low = F.lower(blank(col(text)))
-    return F.aggregate(keywords, F.lit(0), lambda n, k: n + F.contains(low, k).cast("int"))
+    return _bound(low, lambda low: F.aggregate(keywords, F.lit(0), lambda n, k: n + F.contains(low, k).cast("int")))
 
 
 def contains_all(answer, keywords: Column) -> Column:
@@ -182,29 +191,37 @@ def entity_description(name, text, most: int = 200) -> Column:
 
 
 def node_name(node_id, most: int = 50) -> Column:
-    """A readable name: the telling part of a URL, long titles cut at a break, white space collapsed."""
-    raw = strip(node_id)
-    segments = F.filter(F.split(raw, "/"), lambda p: (F.length(p) > 3) & ~p.startswith("http"))
-    last = F.translate(F.element_at(segments, -1), "-_", "  ")
-    is_url = raw.startswith("http://") | raw.startswith("https://")
-    named = F.when(is_url & (F.size(segments) > 0), last).otherwise(raw)
-    named = F.regexp_replace(F.regexp_replace(named, r"https?://\S+", ""), r"www\.\S+", "")
-    head = F.substring(named, 1, most)
-    word = _cut_at_word(named, most)
-    short = (
-        F.when(F.length(named) <= most, named)
-        .when(F.contains(head, F.lit(":")), F.substring_index(named, ":", 1))
-        .when(F.contains(head, F.lit(" - ")), F.substring_index(named, " - ", 1))
-        .when(F.contains(head, F.lit("'")), named)
-        .otherwise(F.when(word.endswith("..."), word).otherwise(F.concat(word, F.lit("..."))))
-    )
-    clean = normalize(short)
-    return (
-        F.when(blank(col(node_id)) == "", "Unknown")
-        .when(is_url & (F.size(segments) == 0), "External Link")
-        .when(clean == "", "Unknown")
-        .otherwise(clean)
-    )
+    """A readable name: the telling part of a URL, long titles cut at a break, white space collapsed.
+
+    Each step over the whole text is bound, so that it runs once.
+    """
+
+    def of(raw: Column) -> Column:
+        is_url = raw.startswith("http://") | raw.startswith("https://")
+        segments = F.filter(F.split(raw, "/"), lambda p: (F.length(p) > 3) & ~p.startswith("http"))
+        last = _bound(segments, lambda s: F.when(F.size(s) > 0, F.translate(F.element_at(s, -1), "-_", "  ")))
+        # null: a URL without a telling part
+        return _bound(F.when(is_url, last).otherwise(raw), lambda named: F.when(named.isNotNull(), _bound(without_urls(named), cut)))
+
+    def without_urls(named: Column) -> Column:
+        named = F.when(F.contains(named, F.lit("http")), F.regexp_replace(named, r"https?://\S+", "")).otherwise(named)
+        return _bound(named, lambda n: F.when(F.contains(n, F.lit("www.")), F.regexp_replace(n, r"www\.\S+", "")).otherwise(n))
+
+    def cut(named: Column) -> Column:
+        # a break within the head is the text's first one
+        head = F.substring(named, 1, most)
+        word = _cut_at_word(named, most)
+        short = (
+            F.when(F.length(named) <= most, named)
+            .when(F.contains(head, F.lit(":")), F.substring_index(head, ":", 1))
+            .when(F.contains(head, F.lit(" - ")), F.substring_index(named, " - ", 1))
+            .when(F.contains(head, F.lit("'")), named)
+            .otherwise(F.when(word.endswith("..."), word).otherwise(F.concat(word, F.lit("..."))))
+        )
+        return normalize(short)
+
+    name = _bound(_bound(strip(node_id), of), lambda clean: F.when(clean == "", "Unknown").otherwise(F.coalesce(clean, F.lit("External Link"))))
+    return F.when(blank(col(node_id)) == "", "Unknown").otherwise(name)
 
 
 def node_confidence(node_id, name, description, source) -> Column:
