@@ -47,3 +47,20 @@ def test_an_overlap_reads_its_text_once(spark):
     out = frame.select("t", text.token_overlap(F.lit("Which license is the public one"), "t").alias("share"), text.keyword_hits("t", F.array(F.lit("lic"), F.lit("pub"))).alias("hits"))
     assert [(round(r["share"], 3), r["hits"]) for r in out.collect()] == [(0.667, 2), (0.0, 0), (0.0, 0), (0.0, 1)]
     assert _plan(out.select("share")).count("lower(coalesce(t") == 1  # three times before
+
+
+def test_files_are_read_once_whatever_their_kind(spark, tmp_path):
+    for name, content in (("a.txt", b"a\r\nb"), ("b.pdf", b"one. two"), ("c.md", b"c"), ("d.txt", b"\xff"), ("e.pdf", b"bad")):
+        (tmp_path / name).write_bytes(content)
+
+    def reader(content):
+        return content.decode().split(". ") if content != b"bad" else 1 / 0
+
+    listed = files.list_files(spark, str(tmp_path), (".txt", ".pdf", ".md"), recursive=True, ordered=False)
+    pages = files.pages(files.few_tasks(listed), reader)
+    assert _plan(pages).count("Relation [path") == 1  # a scan for each kind before
+    got = {(r["source_file"], r["page"]): (r["text"], r["error"]) for r in pages.collect()}
+    assert got == {
+        ("a.txt", 0): ("a\nb", None), ("b.pdf", 0): ("one", None), ("b.pdf", 1): ("two", None), ("c.md", 0): (None, "unsupported file type .md"),
+        ("d.txt", 0): (None, "not valid UTF-8"), ("e.pdf", 0): (None, "ZeroDivisionError: division by zero"),
+    }
