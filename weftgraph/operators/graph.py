@@ -7,7 +7,7 @@ relationships(src, dst, type, ...). Relationships are stored once and directed;
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,6 +78,16 @@ def undirected(relationships: DataFrame) -> DataFrame:
     return forward.unionByName(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
 
 
+def spanned(ids: DataFrame) -> Callable[[Column | str], Column]:
+    """Whether an identifier lies between the least and the greatest of some (the frame's first column), so that it can be one.
+
+    Exact, and told by two values: what can't be one needn't be shuffled to a join with them.
+    """
+    c = ids.columns[0]
+    low, high = ids.agg(F.min(c), F.max(c)).first()
+    return lambda value: F.lit(False) if low is None else F.coalesce(text.col(value).between(low, high), F.lit(False))
+
+
 def label_set(labels: Column | str = "labels") -> Column:
     return F.array_sort(F.coalesce(text.col(labels), F.array().cast("array<string>")))
 
@@ -99,7 +109,10 @@ def canonical_labels(entities: DataFrame, vocabulary: Sequence[str] = config.ENT
 def backfill_document_edges(
     graph: Graph, now: Column, entity_ids: DataFrame | None = None, document_ids: DataFrame | None = None
 ) -> DataFrame:
-    """Relationships with the provenance of those between a document and an entity filled in where it is missing."""
+    """Relationships with the provenance of those between a document and an entity filled in where it is missing.
+
+    Relationships that can't have a document as an end go past the joins; texts are joined last, to those that are filled.
+    """
     documents = graph.documents.select(
         F.col("id").alias("_doc"), F.coalesce("source_file", "id").alias("_file"), F.substring("text", 1, 500).alias("_text")
     )
@@ -108,26 +121,31 @@ def backfill_document_edges(
         documents = documents.join(document_ids.select(F.col("id").alias("_doc")).distinct(), "_doc", "left_semi")
     if entity_ids is not None:
         entities = entities.join(entity_ids.select(F.col("id").alias("_entity")).distinct(), "_entity", "left_semi")
-    rels = graph.relationships
-    out = rels.join(documents, F.col("src") == F.col("_doc"), "left")
-    mirrored = documents.select(*[F.col(c).alias(c + "2") for c in documents.columns])
-    out = out.join(mirrored, F.col("dst") == F.col("_doc2"), "left")
+    rels, doc_ids = graph.relationships, documents.select("_doc")
+    can_be = spanned(graph.documents.select("id"))
+    touched = can_be("src") | can_be("dst")
+    out = rels.where(touched).join(doc_ids, F.col("src") == F.col("_doc"), "left")
+    out = out.join(doc_ids.withColumnRenamed("_doc", "_doc2"), F.col("dst") == F.col("_doc2"), "left")
     other = F.when(F.col("_doc").isNotNull(), F.col("dst")).when(F.col("_doc2").isNotNull(), F.col("src"))
-    out = out.withColumn("_other", other).join(entities, F.col("_other") == F.col("_entity"), "left")
+    # nobody is called so: rows without another end don't meet in one task
+    nobody = F.concat(F.lit("\0"), "src", F.lit("\0"), "dst")
+    out = out.withColumn("_other", F.coalesce(other, nobody)).join(entities, F.col("_other") == F.col("_entity"), "left")
     hit = F.col("_entity").isNotNull()
+    chosen = F.when(hit, F.coalesce("_doc", "_doc2")).otherwise(nobody)
+    out = out.withColumn("_at", chosen).drop("_doc", "_doc2").join(documents, F.col("_at") == F.col("_doc"), "left")
     given = F.when(F.col("type") == "MENTIONS", 0.58).otherwise(0.7)
 
     def fill(name: str, value: Column) -> Column:
         return F.when(hit, F.coalesce(F.col(name), value)).otherwise(F.col(name)).alias(name)
 
     filled = {
-        "source_file": fill("source_file", F.coalesce("_file", "_file2")),
-        "source_chunk": fill("source_chunk", F.coalesce("_doc", "_doc2")),
-        "source_chunk_text": fill("source_chunk_text", F.coalesce("_text", "_text2")),
+        "source_file": fill("source_file", F.col("_file")),
+        "source_chunk": fill("source_chunk", F.col("_doc")),
+        "source_chunk_text": fill("source_chunk_text", F.col("_text")),
         "extracted_at": fill("extracted_at", now),
         "confidence": fill("confidence", given),
     }
-    return out.select(*[filled.get(c, F.col(c)) for c in rels.columns])
+    return out.select(*[filled.get(c, F.col(c)) for c in rels.columns]).unionByName(rels.where(~touched))
 
 
 def backfill_entity_edges(graph: Graph, now: Column, entity_ids: DataFrame | None = None) -> DataFrame:
