@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from weftgraph.functions import text
-from weftgraph.plans import catalog_engine
+from weftgraph.operators import graph, traverse
+from weftgraph.plans import catalog_engine, star_graph
+from weftgraph.plans.engine import TEMPLATES, Engine
 from weftgraph.sources import files
 
 
@@ -64,3 +66,63 @@ def test_files_are_read_once_whatever_their_kind(spark, tmp_path):
         ("a.txt", 0): ("a\nb", None), ("b.pdf", 0): ("one", None), ("b.pdf", 1): ("two", None), ("c.md", 0): (None, "unsupported file type .md"),
         ("d.txt", 0): (None, "not valid UTF-8"), ("e.pdf", 0): (None, "ZeroDivisionError: division by zero"),
     }
+
+
+def _edge(*rows):
+    return [(*r, None, None, None, None, None) for r in rows]
+
+
+EDGE = "src string, dst string, type string, source_file string, source_chunk string, source_chunk_text string, confidence double, extracted_at timestamp"
+
+
+def test_only_what_can_touch_a_document_is_joined_with_documents(spark):
+    documents = spark.createDataFrame([("D1", "one", "f"), ("D3", "three", None)], "id string, text string, source_file string")
+    entities = spark.createDataFrame([("A",), ("D2",), ("Z",)], "id string")
+    rels = spark.createDataFrame(
+        _edge(("D1", "A", "MENTIONS"), ("Z", "D3", "IS"), ("D1", "D3", "NEAR"), ("A", "Z", "KNOWS"), ("D2", "A", "IS"), ("D1", "lost", "IS"), (None, "A", "IS")), EDGE
+    )
+    g = graph.Graph(entities, documents, rels)
+    filled = graph.backfill_document_edges(g, F.lit("2024-01-01").cast("timestamp"))
+    got = {(r["src"], r["dst"]): (r["source_file"], r["source_chunk"], r["source_chunk_text"], r["confidence"]) for r in filled.collect()}
+    none = (None, None, None, None)
+    assert got == {
+        ("D1", "A"): ("f", "D1", "one", 0.58), ("Z", "D3"): ("D3", "D3", "three", 0.7), ("D1", "D3"): none, ("A", "Z"): none, ("D2", "A"): none,
+        ("D1", "lost"): none, (None, "A"): none,
+    }
+    assert "Union" in _plan(filled)  # all went through the joins before
+    bare = graph.backfill_document_edges(g.with_(documents=documents.limit(0)), F.current_timestamp())
+    assert bare.count() == 7 and bare.where("source_chunk IS NOT NULL").count() == 0
+
+
+def test_facts_shuffle_only_what_can_begin_at_a_document(spark):
+    g = star_graph.star_graph(spark, SF)
+    can_be = graph.spanned(g.documents.select("id"))
+    kept = graph.undirected(g.relationships).where(can_be("src"))
+    assert {r[0] for r in kept.select("type").distinct().collect()} == {"MENTIONS"}  # orders and line items went to the join before
+
+
+def test_a_named_node_is_sent_to_the_relationships(spark):
+    rels = spark.createDataFrame([("a", "x", "R"), ("x", "b", "R"), ("x", "b", "R"), ("c", "y", "S"), ("x", "x", "S"), ("a", "z", "R")], "src string, dst string, type string")
+    ents = spark.createDataFrame([(i, n, ["L"], None) for i, n in (("x", "Both"), ("y", "both"), ("z", None))], "id string, name string, labels array<string>, description string")
+    docs = spark.createDataFrame([], "id string")
+    engine = Engine(spark, graph=graph.Graph(ents, docs, rels))
+    rows = engine.query("What is connected to Both?")
+    assert sorted((r["id"], r["type"]) for r in rows) == [("a", "R"), ("b", "R"), ("c", "S"), ("x", "S")]
+    statement, = (s for pattern, s, _ in TEMPLATES if pattern.startswith("(?:connected"))
+    plan = engine.sql(statement, {"name": "Both"})._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_links_are_written_once_for_both_ends(spark):
+    rels = spark.createDataFrame([("a", "b", "R"), ("b", "c", "R"), ("c", "c", "R")], "src string, dst string, type string")
+    links = traverse._links(rels, "both", 3)
+    assert sorted(tuple(r) for r in links.collect()) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"), ("c", "c"), ("c", "c")]
+    assert "explode" in _plan(links)  # both directions were written before
+    assert sorted(tuple(r) for r in traverse._links(rels, "in", 3).collect()) == [("b", "a"), ("c", "b"), ("c", "c")]
+
+
+def test_distinct_pairs_take_tasks_by_their_rows(spark, monkeypatch):
+    frame = spark.range(100).selectExpr("id % 40 AS a", "id % 8 AS b")
+    monkeypatch.setattr(star_graph, "PAIRS_OF_A_TASK", 10)
+    pairs = star_graph._pairs(frame, "a", "b")
+    assert pairs.count() == 40 and pairs.rdd.getNumPartitions() == 10  # 4 at most before, as the session has it

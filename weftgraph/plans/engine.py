@@ -33,6 +33,8 @@ RELATION_WORDS = (
     ("acquire", "ACQUIRED"), ("author", "AUTHORED"), ("create", "CREATED"), ("use", "USES_ARCHITECTURE"),
 )
 _CALLED = "lower(coalesce(name, id)) = lower(:name)"
+#: Relationships from either end. Nodes of one name are few and are sent to them: relationships stay where they are.
+_ENDS = "SELECT src AS node, dst AS id, type FROM relationships UNION ALL SELECT dst, src, type FROM relationships"
 #: Forms of questions with statements over the views; a group is a parameter, by its place.
 TEMPLATES = (
     (r"how many (?:relationships|edges|connections)\b.*(?:type|kind)", "SELECT type, count(*) AS count FROM relationships GROUP BY type ORDER BY count DESC, type", ()),
@@ -41,7 +43,8 @@ TEMPLATES = (
     (r"how many (\w+)", "SELECT count(*) AS count FROM nodes WHERE exists(labels, l -> lower(l) LIKE :label)", ("label",)),
     (r"most connected", """SELECT id, count(*) AS degree FROM (SELECT src AS id FROM relationships UNION ALL SELECT dst FROM relationships)
         GROUP BY id ORDER BY degree DESC, id LIMIT 10""", ()),
-    (r"(?:connected|related) to (.+?)\??$", f"SELECT n.id, n.type FROM nodes a, LATERAL neighbors_of(a.id) n WHERE {_CALLED.replace('name, id', 'a.name, a.id')}", ("name",)),
+    (r"(?:connected|related) to (.+?)\??$", f"""SELECT id, type FROM (SELECT /*+ BROADCAST(a) */ DISTINCT a.id AS node, n.id, n.type
+        FROM (SELECT id FROM nodes WHERE {_CALLED}) a JOIN ({_ENDS}) n ON n.node = a.id)""", ("name",)),
     (r"(?:who|what|which \w+) (?:has |have |is |are |was |were )?(\w[\w-]*(?: on| with)?) (?:by |from )?(.+?)\??$", f"""SELECT DISTINCT o.id, coalesce(o.name, o.id) AS name, r.type
         FROM nodes a JOIN relationships r ON r.type = :cue AND a.id IN (r.src, r.dst) JOIN nodes o ON o.id = CASE WHEN r.src = a.id THEN r.dst ELSE r.src END
         WHERE {_CALLED.replace('name, id', 'a.name, a.id')} ORDER BY o.id""", ("cue", "name")),
