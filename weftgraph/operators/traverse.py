@@ -45,10 +45,16 @@ def adjacency(relationships: DataFrame, direction: str = "both") -> DataFrame:
     raise ValueError(f"direction must be both, out or in, not {direction!r}")
 
 
-def _links(adjacency: DataFrame, depth: int) -> DataFrame:
-    """(id, _next) of an adjacency; written first if several hops read it."""
-    pairs = adjacency.select(F.col("src").alias("id"), F.col("dst").alias("_next"))
-    return cut(pairs) if depth > 1 else pairs
+def _links(relationships: DataFrame, direction: str, depth: int) -> DataFrame:
+    """(id, _next) of the adjacency in that direction; written first if several hops read it, each relationship once, and
+    turned round as it is read."""
+    rels = adjacency(relationships, "out" if direction == "both" else direction)
+    pairs = rels.select(F.col("src").alias("id"), F.col("dst").alias("_next"))
+    pairs = cut(pairs) if depth > 1 else pairs
+    if direction != "both":
+        return pairs
+    ends = F.array(F.struct("id", "_next"), F.struct(F.col("_next").alias("id"), F.col("id").alias("_next")))
+    return pairs.select(F.explode(ends).alias("e")).select("e.id", "e._next")
 
 
 def _small(frame: DataFrame, rows: int) -> DataFrame:
@@ -74,7 +80,7 @@ def distances(
     relationships: DataFrame, seeds: DataFrame, depth: int, *, direction: str = "both", excluded: Sequence[str] = ()
 ) -> DataFrame:
     """(seed, id, dist) of all nodes within depth hops of each seed (a frame with a column id), seeds included."""
-    return _distances(_links(adjacency(kept_types(relationships, excluded), direction), depth), seeds, depth)
+    return _distances(_links(kept_types(relationships, excluded), direction, depth), seeds, depth)
 
 
 def _distances(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -86,7 +92,7 @@ def distance_to_any(
 ) -> DataFrame:
     """(id, dist): the least distance to any seed; one frontier for all seeds."""
     start = seeds.select("id").distinct().withColumn("dist", F.lit(0))
-    return _walk(start, _links(adjacency(kept_types(relationships, excluded)), depth), [], depth)
+    return _walk(start, _links(kept_types(relationships, excluded), "both", depth), [], depth)
 
 
 def neighbors(
@@ -111,7 +117,7 @@ def neighbors(
     asked = _small(seeds.withColumnRenamed("id", "seed"), seeds.count())
     first = links.join(asked, F.col("src") == F.col("seed")).select("seed", F.col("type").alias("relationship"), F.col("dst").alias("id"))
     start = first.distinct().withColumn("dist", F.lit(1))
-    found = _walk(start, _links(links, depth - 1), ["seed", "relationship"], depth, 1).where("id <> seed")
+    found = _walk(start, _links(rels, direction, depth - 1), ["seed", "relationship"], depth, 1).where("id <> seed")
     named = found.join(graph.nodes, "id").select(
         "seed", "id", F.coalesce("name", "id").alias("name"), "description", "labels", "relationship", "dist"
     )
@@ -223,7 +229,7 @@ def path_length(
     relationships: DataFrame, pairs: DataFrame, max_depth: int = 5, *, excluded: Sequence[str] = ("MENTIONS",)
 ) -> DataFrame:
     """(start, end, length) of the pairs that are within max_depth, by two frontiers that meet half way."""
-    links = _links(adjacency(kept_types(relationships, excluded)), max_depth)
+    links = _links(kept_types(relationships, excluded), "both", max_depth)
     near = _distances(links, pairs.select(F.col("start").alias("id")), (max_depth + 1) // 2)
     far = _distances(links, pairs.select(F.col("end").alias("id")), max_depth // 2)
     ahead = near.select(F.col("seed").alias("start"), "id", F.col("dist").alias("_a"))

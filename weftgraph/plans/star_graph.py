@@ -42,12 +42,24 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Pairs of a task that makes them distinct, about.
+PAIRS_OF_A_TASK = 2_000_000
+
+
+def _pairs(frame: DataFrame, *keys: str) -> DataFrame:
+    """Distinct pairs, in as many tasks as their rows ask for: the number of a session's shuffles is the same for any size."""
+    pairs = frame.select(*keys)
+    tasks = -(-frame.count() // PAIRS_OF_A_TASK)  # the number of rows is in the files' footers
+    most = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (pairs.repartition(tasks, *keys) if tasks > most else pairs).distinct()
+
+
 def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
     out = _edge(t("orders"), "C", "o_custkey", "O", "o_orderkey", "PLACED")
     for more in (
-        _edge(t("lineitem").select("l_orderkey", "l_partkey").distinct(), "O", "l_orderkey", "P", "l_partkey", "CONTAINS"),
-        _edge(t("lineitem").select("l_partkey", "l_suppkey").distinct(), "P", "l_partkey", "S", "l_suppkey", "SUPPLIED_BY"),
+        _edge(_pairs(t("lineitem"), "l_orderkey", "l_partkey"), "O", "l_orderkey", "P", "l_partkey", "CONTAINS"),
+        _edge(_pairs(t("lineitem"), "l_partkey", "l_suppkey"), "P", "l_partkey", "S", "l_suppkey", "SUPPLIED_BY"),
         _edge(t("customer"), "C", "c_custkey", "N", "c_nationkey", "LOCATED_IN"),
         _edge(t("supplier"), "S", "s_suppkey", "N", "s_nationkey", "LOCATED_IN"),
         _edge(t("nation"), "N", "n_nationkey", "R", "n_regionkey", "PART_OF"),
