@@ -126,3 +126,22 @@ def test_distinct_pairs_take_tasks_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(star_graph, "PAIRS_OF_A_TASK", 10)
     pairs = star_graph._pairs(frame, "a", "b")
     assert pairs.count() == 40 and pairs.rdd.getNumPartitions() == 10  # 4 at most before, as the session has it
+
+
+def test_identifiers_are_sent_by_their_number(spark, tmp_path, monkeypatch):
+    travels = graph.travels
+    monkeypatch.setattr(graph, "travels", lambda rows, most=100: travels(rows, min(most, 100)))
+    # equal columns take no room in a file, so that Spark takes the entities for small
+    ids = spark.range(5000).select(F.concat(F.lit("E"), F.col("id").cast("string")).alias("id"))
+    ids.select("id", F.lit("f").alias("source_document"), F.lit("c").alias("source_chunk")).write.parquet(f"{tmp_path}/e")
+    entities = spark.read.parquet(f"{tmp_path}/e")
+    rels = spark.createDataFrame([("E1", "E2", "T")], "src string, dst string, type string").select("*", *[
+        F.lit(None).cast(t).alias(c) for c, t in (("source_file", "string"), ("source_chunk", "string"), ("source_chunk_text", "string"), ("confidence", "double"), ("extracted_at", "timestamp"))
+    ])
+    documents = ids.select(F.concat(F.lit("D"), "id").alias("id"), F.lit("f").alias("source_file"), F.lit("t").alias("text"))
+    g, now = graph.Graph(entities, documents, rels), F.lit("2024-01-01").cast("timestamp")
+    for out in (graph.backfill_document_edges(g, now), graph.backfill_entity_edges(g, now)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()  # all entities were collected in the driver before
+    assert [tuple(r) for r in out.select("src", "source_file", "source_chunk", "confidence").collect()] == [("E1", "f", "c", 0.68)]
+    few = graph.Graph(entities.limit(3), documents.limit(3), rels)
+    assert "BroadcastHashJoin" in graph.backfill_entity_edges(few, now)._jdf.queryExecution().executedPlan().toString()
