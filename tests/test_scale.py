@@ -145,3 +145,41 @@ def test_identifiers_are_sent_by_their_number(spark, tmp_path, monkeypatch):
     assert [tuple(r) for r in out.select("src", "source_file", "source_chunk", "confidence").collect()] == [("E1", "f", "c", 0.68)]
     few = graph.Graph(entities.limit(3), documents.limit(3), rels)
     assert "BroadcastHashJoin" in graph.backfill_entity_edges(few, now)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_between_few_nodes_meets_half_way(spark, monkeypatch):
+    # a hub with many spokes; the targets lie on a path from the seed, one beyond the depth and one nowhere
+    hub = [("A", f"X{i}", "T") for i in range(500)] + [(f"X{i}", f"Y{i}", "T") for i in range(500)]
+    path = [(a, b, "T") for a, b in zip("ABCDEFG", "BCDEFGH", strict=True)]
+    rels = spark.createDataFrame(hub + path + [("A", "H", "MENTIONS")], "src string, dst string, type string")
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    seeds, targets = frame("A", "A"), frame("A", "B", "D", "F", "H", "X7", "Z")
+    rows = []
+    real = traverse._small
+    monkeypatch.setattr(traverse, "_small", lambda frame, n: rows.append(n) or real(frame, n))
+    for depth in (1, 4, 5):
+        every = {r["id"]: r["dist"] for r in traverse.distance_to_any(rels, seeds, depth, excluded=["mentions"]).collect()}
+        wanted = {k: v for k, v in every.items() if k in "ABDFHZ" or k == "X7"}
+        for few in (0, 100):
+            monkeypatch.setattr(traverse, "FEW_TARGETS", few)
+            found = traverse.distance_between(rels, seeds, targets, depth, excluded=["mentions"]).collect()
+            assert {r["id"]: r["dist"] for r in found} == wanted and len(found) == len(wanted)
+    rows.clear()
+    traverse.distance_between(rels, seeds, frame("B", "C"), 5).collect()
+    assert max(rows) < 600  # all of the hub's surroundings, 1,000 rows and more, were walked to the full depth before
+
+
+def test_vectors_are_those_of_each_feature_alone(spark):
+    import hashlib
+    import re
+
+    value, dim = "Some words, some WORDS again; ä b2 some", 16
+    words = re.findall("[a-z0-9]+", value.lower())
+    row = [0.0] * dim
+    for feature in (*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))):
+        h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "little")
+        row[h % dim] += 1.0 if h >> 63 else -1.0
+    size = sum(x * x for x in row) ** 0.5
+    from weftgraph.operators.extract import HashingEmbedder
+
+    assert HashingEmbedder(dim)([value, None, ""]) == [[x / size for x in row], [0.0] * dim, [0.0] * dim]
